@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from factloom.llm.packing import op1_best_fit_packing
 from factloom.llm.secret_scan import op3_secret_scan
 from factloom.llm.url_filter import op10_url_filter
 
-QUERIES = {f.__name__: f for f in (op3_secret_scan, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_secret_scan, op10_url_filter)}
 ORACLES: dict[str, str] = {}
