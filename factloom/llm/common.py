@@ -60,3 +60,37 @@ def held_out(key: Column | str) -> Column:
 def shards(rows: int, each: int, least: int = 1) -> int:
     """How many groups keep about `each` of `rows` rows."""
     return max(least, -(-rows // each))
+
+
+# Bytes of UTF-8 texts that separate words become spaces, A-Z become a-z; all bytes from 0x80 on belong to words.
+_WORD_BYTES = bytes(b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
+
+
+def words_of(text: str) -> list[bytes]:
+    """Lower-cased (A-Z) runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]``, as UTF-8."""
+    return text.encode("utf-8", "replace").translate(_WORD_BYTES).split()
+
+
+class Remembered(dict):
+    """What `make` gives for a key, kept for up to `most` keys; beyond that, keys are made anew each time."""
+
+    def __init__(self, make, most: int = 500_000):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, key):
+        value = self.make(key)
+        if len(self) < self.most:
+            self[key] = value
+        return value
+
+
+def mix64(x):
+    """A 64-bit finaliser over a numpy array of unsigned integers: each bit of the input reaches all of the output."""
+    import numpy as np
+
+    x = x ^ (x >> np.uint64(30))
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x = x ^ (x >> np.uint64(27))
+    x = x * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
