@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from factloom.llm.decontamination import op7_decontamination
 from factloom.llm.packing import op1_best_fit_packing
+from factloom.llm.quality import op8_quality_classifier
 from factloom.llm.secret_scan import op3_secret_scan
 from factloom.llm.url_filter import op10_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_secret_scan, op7_decontamination, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_secret_scan, op7_decontamination, op8_quality_classifier, op10_url_filter)}
 ORACLES: dict[str, str] = {}
