@@ -6,7 +6,9 @@ from factloom.llm.decontamination import op7_decontamination
 from factloom.llm.packing import op1_best_fit_packing
 from factloom.llm.quality import op8_quality_classifier
 from factloom.llm.secret_scan import op3_secret_scan
+from factloom.llm.topk_search import OP4_SQL, op4_topk_search
 from factloom.llm.url_filter import op10_url_filter
+from factloom.llm.warc import OP9_SQL, op9_warc
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_secret_scan, op7_decontamination, op8_quality_classifier, op10_url_filter)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_secret_scan, op4_topk_search, op7_decontamination, op8_quality_classifier, op9_warc, op10_url_filter)}
+ORACLES: dict[str, str] = {"op4_topk_search": OP4_SQL, "op9_warc": OP9_SQL}
