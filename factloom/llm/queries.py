@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from factloom.llm.decontamination import op7_decontamination
+from factloom.llm.language_id import op6_language_id
 from factloom.llm.near_duplicates import op5_near_duplicates
 from factloom.llm.packing import op1_best_fit_packing
 from factloom.llm.quality import op8_quality_classifier
@@ -11,5 +12,5 @@ from factloom.llm.topk_search import OP4_SQL, op4_topk_search
 from factloom.llm.url_filter import op10_url_filter
 from factloom.llm.warc import OP9_SQL, op9_warc
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_secret_scan, op4_topk_search, op5_near_duplicates, op7_decontamination, op8_quality_classifier, op9_warc, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_secret_scan, op4_topk_search, op5_near_duplicates, op6_language_id, op7_decontamination, op8_quality_classifier, op9_warc, op10_url_filter)}
 ORACLES: dict[str, str] = {"op4_topk_search": OP4_SQL, "op9_warc": OP9_SQL}
