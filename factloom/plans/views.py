@@ -77,12 +77,12 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcome = F.when(F.col("event_type") == "purchase", "adopted").when(F.col("event_type") == "signup", "corrected").when(F.col("event_type") == "error", "denied")
     outcome = outcome.when(F.col("event_type") == "click", "injected").otherwise("retrieved")
     return e.select(
-        "event_id", F.col("ts").alias("at"), F.col("user_id").alias("owner"), F.regexp_extract("props", r'"k": *([0-9]+)', 1).cast("bigint").alias("fact_id"), outcome.alias("outcome"), F.col("value").alias("latency")
+        "event_id", F.col("ts").alias("seen_at"), F.col("user_id").alias("owner"), F.regexp_extract("props", r'"k": *([0-9]+)', 1).cast("bigint").alias("fact_id"), outcome.alias("outcome"), F.col("value").alias("latency")
     )
 
 
 FEEDBACK = r"""v_feedback AS (
-  SELECT event_id, ts AS at, user_id AS owner, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) AS fact_id,
+  SELECT event_id, ts AS seen_at, user_id AS owner, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) AS fact_id,
     CASE event_type WHEN 'purchase' THEN 'adopted' WHEN 'signup' THEN 'corrected' WHEN 'error' THEN 'denied' WHEN 'click' THEN 'injected' ELSE 'retrieved' END AS outcome, value AS latency
   FROM events
 )"""
