@@ -43,7 +43,7 @@ ALLOW = tuple(
         r"[A-Za-z]+\Z",
         r"[0-9+/_.=-]+\Z",
         r"(?:[a-z]+|[A-Z]+|[0-9]{1,8})(?:[-_./=](?:[a-z]+|[A-Z]+|[0-9]{1,8}))*[-_./=]*\Z",
-        r"(?i)[^/]*\b(?:www\.|[a-z0-9-]+\.(?:com|org|net|io)\b)",
+        r"(?i)/{0,2}(?:www\.|[a-z0-9.-]+\.(?:com|org|net|io)(?:/|\Z))",
         r"(?i).*(?:example|placeholder|changeme|xxxx|your[_-]?)",
         r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\Z",
     )
