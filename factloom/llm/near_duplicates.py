@@ -202,11 +202,12 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
     nodes = stored(
         rows_df.where("node is not null").groupBy("node").agg(F.min(order).alias("first"), F.first("keys").alias("keys"), F.first("registers").alias("registers")), "nodes"
     )
-    texts = numbered.select("node", "text", "row").where("node is not null")
+    texts = numbered.select(F.col("node").alias("_node"), "text", F.col("id").alias("_id")).where("_node is not null")
 
     def text_of(wanted: DataFrame) -> DataFrame:
-        """(node, text) of the wanted (node, row): each is read once, at its first row."""
-        return texts.join(wanted.select("node", "row"), ["node", "row"]).select("node", "text")
+        """(node, text) of the wanted (node, id): of equal texts one row alone travels."""
+        met = texts.join(wanted.select("node", "id"), (F.col("_node") == F.col("node")) & F.col("_id").eqNullSafe(F.col("id")))
+        return met.select("node", "text").dropDuplicates(["node"])
 
     buckets = stored(nodes.select("node", F.explode("keys").alias("bucket")), "buckets")
     leaders = buckets.groupBy("bucket").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1")
@@ -221,7 +222,7 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
     )
     likely = stored(likely, "likely")
     fans = likely.groupBy("lead").agg(F.ceil(F.count("*") / FAN).cast("int").alias("fan"))
-    firsts = nodes.select("node", F.col("first.row").alias("row"))
+    firsts = nodes.select("node", F.col("first.id").alias("id"))
     wanted = stored(text_of(firsts.join(likely.select("node").union(likely.select("lead")).distinct(), "node")), "texts")
     lead_texts = wanted.withColumnsRenamed({"node": "lead", "text": "lead_text"}).join(fans, "lead").select("lead", "lead_text", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("part"))
     placed = likely.join(fans, "lead").select("node", "lead", F.pmod(F.xxhash64("node"), F.col("fan")).cast("int").alias("part"))
