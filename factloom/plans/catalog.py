@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from factloom.plans import analysis, lifecycle, retrieval
+from factloom.plans import analysis, jobs, lifecycle, retrieval, writes
 
-_PARTS = (retrieval, lifecycle, analysis)
+_PARTS = (retrieval, lifecycle, analysis, writes, jobs)
 QUERIES: dict = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
