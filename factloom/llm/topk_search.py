@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import shards, stored, table
 
-#: Rows of a tile on either side, dimensions of a block, and candidates that one step scores together.
-TILE_CANDIDATES, TILE_QUERIES, DIMENSIONS, STEP = 32_768, 4_096, 16, 4_096
+#: Rows of a tile on either side, and dimensions of a block.
+TILE_CANDIDATES, TILE_QUERIES, DIMENSIONS = 32_768, 4_096, 16
+#: Queries and candidates that one step scores together, and candidates scored whole first, for a bound to start from.
+QUERIES_AT_ONCE, STEP, SEED = 256, 4_096, 1_024
 SCALE = 256.0
 
 
@@ -40,51 +42,57 @@ def quantised(vector: Column, scale: float = SCALE) -> Column:
     return F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("bigint"))
 
 
-def best_of_block(queries: np.ndarray, own: np.ndarray, ids: np.ndarray, rows: np.ndarray, columns: np.ndarray, k: int, width: int = DIMENSIONS, step: int = STEP) -> Iterator[tuple[int, np.ndarray]]:
-    """(query, places of its best candidates, best first), for candidates given as columns[dimension, candidate].
-    own: the queries' rows; ids, rows: those of the candidates, in ascending order of id."""
+def best_of_block(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, columns: np.ndarray, k: int, width: int = DIMENSIONS, step: int = STEP) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(queries, places, scores) of the k best candidates of every query, best first, for some queries at a time.
+    Candidates are given as columns[dimension, candidate], in ascending order of id; own, rows: the rows of either side."""
     d, n = columns.shape
-    exact = columns.astype("f8")  # products of quantised components and their sums stay far below 2^53
-    if float(np.abs(exact).max(initial=1)) * float(np.abs(queries).max(initial=1)) * d >= 2**53:
+    if float(np.abs(columns).max(initial=1)) * float(np.abs(queries).max(initial=1)) * d >= 2**53:
         raise ValueError("components are too large for exact scores")
-    seed = min(n, max(4 * k, 64))
-    for q in range(len(queries)):
-        order = np.argsort(-np.abs(queries[q]), kind="stable")
-        query = queries[q][order].astype("f8")
-        query_left = np.sqrt(np.concatenate([np.cumsum((query * query)[::-1])[::-1], [0.0]]))
-        best_scores, best_places = np.empty(0), np.empty(0, "i8")
-
-        def offer(scores: np.ndarray, places: np.ndarray, scores0: np.ndarray, places0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            s, p = np.concatenate([scores0, scores]), np.concatenate([places0, places])
-            top = np.lexsort((p, -s))[:k]
-            return s[top], p[top]
-
-        for a in [0, *range(seed, n, step)]:
-            b = seed if a == 0 else min(n, a + step)
-            places = np.arange(a, b)
-            places = places[rows[a:b] != own[q]]
-            scores = np.zeros(len(places))
-            if len(best_scores) < k:
-                scores = query @ exact[order][:, places]
-            else:
-                least = best_scores[-1]
-                left = (exact[:, places] ** 2).sum(0)
-                for at in range(0, d, width):
-                    part = exact[order[at : at + width]][:, places]
-                    scores += query[at : at + width] @ part
-                    left = np.maximum(left - (part * part).sum(0), 0.0)
-                    if at + width < d:
-                        # ties lose to those found, as places ascend by id
-                        alive = scores + np.sqrt(left) * query_left[at + width] * (1 + 1e-9) + 1e-6 > least
-                        if not alive.all():
-                            places, scores, left = places[alive], scores[alive], left[alive]
-                            if not len(places):
-                                break
-                alive = scores > least
-                places, scores = places[alive], scores[alive]
-            if len(places):
-                best_scores, best_places = offer(scores, places, best_scores, best_places)
-        yield q, best_places, best_scores
+    order = np.argsort(-(queries.astype("f8") ** 2).sum(0), kind="stable")  # most query mass first
+    down = columns[order].astype("f8")  # products of quantised components and their sums stay below 2^53
+    cuts = [*range(width, d, width), d]
+    c_left = np.sqrt(np.stack([(down[at:] ** 2).sum(0) for at in cuts]))
+    for some in np.array_split(np.arange(len(queries)), max(1, -(-len(queries) // QUERIES_AT_ONCE))):
+        q, mine = queries[some][:, order].astype("f8"), own[some]
+        q_left = np.sqrt(np.stack([(q[:, at:] ** 2).sum(1) for at in cuts]))
+        best = np.full((len(some), k), -np.inf)  # scores, and the places of those candidates
+        best_at = np.full((len(some), k), n, "i8")
+        for a in [0, *range(SEED, n, step)]:
+            b = min(n, SEED if a == 0 else a + step)
+            least, at = best[:, -1], cuts[0]
+            scores = q[:, :at] @ down[:at, a:b]
+            pairs = None
+            for block, end in enumerate(cuts):
+                if block and pairs is None:
+                    scores += q[:, at:end] @ down[at:end, a:b]
+                elif block:
+                    qi, ci, s = pairs
+                    pairs = (qi, ci, s + np.einsum("ij,ji->i", q[qi, at:end], down[at:end, a + ci]))
+                at = end
+                # what remains can't exceed the product of the norms; a tie loses to those found, as places ascend by id
+                if pairs is None:
+                    alive = scores + q_left[block][:, None] * c_left[block][None, a:b] * (1 + 1e-9) + (1e-6 if end < d else 0) > least[:, None]
+                    if end == d or alive.mean() < 0.1:
+                        qi, ci = np.nonzero(alive)
+                        pairs = (qi, ci, scores[qi, ci])
+                else:
+                    qi, ci, s = pairs
+                    alive = s + q_left[block][qi] * c_left[block][a + ci] * (1 + 1e-9) + (1e-6 if end < d else 0) > least[qi]
+                    pairs = (qi[alive], ci[alive], s[alive])
+            qi, ci, s = pairs
+            other = rows[a + ci] != mine[qi]
+            qi, ci, s = qi[other], ci[other], s[other]
+            if not len(qi):
+                continue
+            touched = np.unique(qi)
+            owner = np.concatenate([qi, np.repeat(touched, k)])
+            score, place = np.concatenate([s, best[touched].ravel()]), np.concatenate([a + ci, best_at[touched].ravel()])
+            ranked = np.lexsort((place, -score, owner))
+            first = np.searchsorted(owner[ranked], touched)
+            top = ranked[first[:, None] + np.arange(k)]
+            best[touched], best_at[touched] = score[top], place[top]
+        qi, ki = np.nonzero(best_at < n)
+        yield some[qi], best_at[qi, ki], best[qi, ki].astype("i8")
 
 
 def top_k(vectors: DataFrame, is_query: Column, id: str = "vec_id", vector: str = "embedding", k: int = 5, scale: float = SCALE) -> DataFrame:
@@ -95,7 +103,7 @@ def top_k(vectors: DataFrame, is_query: Column, id: str = "vec_id", vector: str
     rows = stored(rows, "vectors")  # row numbers are fixed from here on
     n, queries = rows.agg(F.count("*"), F.count_if("q")).first()
     tiles, blocks = shards(n, TILE_CANDIDATES, 1), shards(queries, TILE_QUERIES, 1)
-    blocks = max(blocks, min(shards(queries, 64, 1), shards(24, tiles, 1)))  # a few tiles at least, so that small inputs use all cores
+    tiles = max(tiles, min(shards(n, 2_048, 1), 24))  # a few tiles at least, so that small inputs use all cores
 
     def side(part: DataFrame, own: int, own_name: str, other: int, other_name: str) -> DataFrame:
         placed = part.withColumn(own_name, F.pmod(F.xxhash64("row"), F.lit(own)).cast("int"))
@@ -111,10 +119,10 @@ def top_k(vectors: DataFrame, is_query: Column, id: str = "vec_id", vector: str
             c = cs[lengths == length].sort_values(["id", "row"])
             if not len(c):
                 continue
-            ids, columns = c["id"].to_numpy(), np.ascontiguousarray(np.stack(c["v"].to_numpy()).T)
+            ids, places_rows, columns = c["id"].to_numpy(), c["row"].to_numpy(), np.ascontiguousarray(np.stack(c["v"].to_numpy()).T)
             own, qid = some["row"].to_numpy(), some["id"].to_numpy()
-            for q, places, scores in best_of_block(np.stack(some["v"].to_numpy()), own, ids, c["row"].to_numpy(), columns, k):
-                out.append(pd.DataFrame({"query_id": qid[q], "query_row": own[q], "id": ids[places], "score": scores.astype("i8"), "row": c["row"].to_numpy()[places]}))
+            for q, places, scores in best_of_block(np.stack(some["v"].to_numpy()), own, places_rows, columns, k):
+                out.append(pd.DataFrame({"query_id": qid[q], "query_row": own[q], "id": ids[places], "score": scores, "row": places_rows[places]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "query_row": [], "id": [], "score": [], "row": []}).astype("i8")
 
     found = left.groupBy("b", "t").cogroup(right.groupBy("b", "t")).applyInPandas(tile, "query_id long, query_row long, id long, score long, row long")
