@@ -9,8 +9,8 @@ from factloom.functions import scores
 from factloom.operators import audits, calibration, evaluation, graph, temporal
 from factloom.plans import views
 
-#: Orders whose lines make the edges of the traversal queries, which start from given parts.
-BOUND, ROOTS, HOPS = 600, 40, 3
+#: Seeds of the traversals, the parts of highest price, and their depth.
+SEEDS, HOPS = 20, 2
 
 
 def conflict_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,9 +35,17 @@ n AS (SELECT src AS node, 'out' AS direction, dst AS other, kind FROM v_edge UNI
 SELECT node, direction, count(DISTINCT other) AS n, count(*) AS edges FROM n GROUP BY ALL"""
 
 
+def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranked seeds of a traversal."""
+    return views.read(spark, sf_dir, "part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(SEEDS).select(F.col("p_partkey").alias("node"))
+
+
+_SEEDS = f"seed AS (SELECT p_partkey AS node FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT {SEEDS})"
+
+
 def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = graph.neighbours(views.edges(spark, sf_dir, BOUND), "out").select("node", "other").distinct()
-    roots = steps.select("node").distinct().where(F.col("node") <= ROOTS).select(F.col("node").alias("root"), "node")
+    steps = graph.neighbours(views.edges(spark, sf_dir), "out").select("node", "other").distinct()
+    roots = _seeds(spark, sf_dir).select(F.col("node").alias("root"), "node")
     return graph.shortest_paths(steps, roots, HOPS).select("root", "node", "depth", "parent")
 
 
@@ -47,21 +55,21 @@ def _level(k: int) -> str:
   WHERE NOT EXISTS (SELECT 1 FROM ({seen}) x WHERE x.root = p.root AND x.node = s.other) GROUP BY p.root, s.other)"""
 
 
-SHORTEST_PATHS = f"""WITH {views.edges_sql(BOUND)},
+SHORTEST_PATHS = f"""WITH {views.edges_sql()}, {_SEEDS},
 st AS (SELECT DISTINCT src AS node, dst AS other FROM v_edge),
-l0 AS (SELECT DISTINCT node AS root, node, 0 AS depth, CAST(NULL AS BIGINT) AS parent FROM st WHERE node <= {ROOTS}),
+l0 AS (SELECT node AS root, node, 0 AS depth, CAST(NULL AS BIGINT) AS parent FROM seed),
 {", ".join(_level(k) for k in range(1, HOPS + 1))}
 {" UNION ALL ".join(f"SELECT root, node, depth, parent FROM l{k}" for k in range(HOPS + 1))}"""
 
 
 def purge_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What goes with the parts up to 3, where a part depends on each smaller one before it in an order."""
-    e = views.edges(spark, sf_dir, BOUND).select("src", "dst").where("src < dst").distinct()
-    return graph.purge_closure(e, e.select(F.col("src").alias("node")).where("node <= 3").distinct()).select("node").distinct()
+    """What goes with the seeds, where a part depends on each smaller one right before it in an order of kind A."""
+    e = views.edges(spark, sf_dir).where("kind = 'A' and src < dst").select("src", "dst").distinct()
+    return graph.purge_closure(e, _seeds(spark, sf_dir)).select("node").distinct()
 
 
-PURGE_CLOSURE = f"""WITH RECURSIVE {views.edges_sql(BOUND)}, e AS (SELECT DISTINCT src, dst FROM v_edge WHERE src < dst),
-c(node) AS (SELECT DISTINCT src FROM e WHERE src <= 3 UNION SELECT e.dst FROM c JOIN e ON e.src = c.node)
+PURGE_CLOSURE = f"""WITH RECURSIVE {views.edges_sql()}, {_SEEDS}, e AS (SELECT DISTINCT src, dst FROM v_edge WHERE kind = 'A' AND src < dst),
+c(node) AS (SELECT node FROM seed UNION SELECT e.dst FROM c JOIN e ON e.src = c.node)
 SELECT node FROM c"""
 
 

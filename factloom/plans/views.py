@@ -102,18 +102,16 @@ SAMPLES = """v_sample AS (
 )"""
 
 
-def edges(spark: SparkSession, sf_dir: str, bound: int | None = None) -> DataFrame:
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part-to-part edges between consecutive distinct lines of an order."""
     li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag").distinct()
-    li = li if bound is None else li.where(F.col("l_orderkey") <= bound)
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
     rows = li.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"), F.col("l_returnflag").alias("kind"))
     return rows.where("dst is not null").distinct()
 
 
-def edges_sql(bound: int | None = None) -> str:
-    where = "" if bound is None else f"WHERE l_orderkey <= {bound}"
-    return f"""v_line AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag FROM lineitem {where}),
+def edges_sql() -> str:
+    return """v_line AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag FROM lineitem),
 v_step AS (
   SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) AS dst, l_returnflag AS kind FROM v_line
 ), v_edge AS (SELECT DISTINCT src, dst, kind FROM v_step WHERE dst IS NOT NULL)"""
