@@ -3,7 +3,8 @@
 Passages are the lines of a text and, where it has more than one line, its paragraphs (blocks between empty lines) and
 the whole text. Text is normalised first: lower case, and everything but letters and digits as one space. With bigram
 sets of sizes a and b, Dice is at most 2 min(a, b) / (a + b): a template is compared only if its size lies within the
-bounds that the threshold leaves around the passage's, and a passage without any such template isn't compared at all.
+bounds that the threshold leaves around the passage's, and a passage with fewer or more bigrams, repeats counted, than
+any template's bounds allow isn't compared at all.
 The templates are a short configured list; they are constants of the plan. Everything is DataFrame functions.
 
 Defined results: null and empty texts, and texts of single words, match nothing; texts of any length are compared whole;
@@ -98,18 +99,17 @@ def best_licence(passages: Column, templates: Mapping[str, tuple[str, ...]] = TE
         # the highest Dice, and of those the first name: names count down as max() takes the later
         return F.aggregate(F.array(*tried[1:]), tried[0], lambda a, b: F.when(b["dice"] > a["dice"], b).otherwise(a)) if len(tried) > 1 else tried[0]
 
-    def judged(passage: Column) -> Column:
-        words = F.split(passage, " ")
-        count = F.size(words) - 1
-        bigrams = F.array_distinct(F.zip_with(F.slice(words, 1, count), F.slice(words, 2, count), lambda a, b: F.concat_ws(" ", a, b)))
-        none = F.struct(F.lit(0.0).alias("dice"), F.lit("").alias("licence"))
-        # a set is no larger than the list, and the list must not be shorter than the smallest template allows
-        return F.when((count >= least) & (count >= 1), F.when(F.size(bigrams) <= most, dice(bigrams))).otherwise(none)
+    def bigrams_of(words: Column) -> Column:
+        n = F.size(words) - 1
+        return F.array_distinct(F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat_ws(" ", a, b)))
 
-    # texts of many words can't match as a whole; they are not split
-    short = F.filter(passages, lambda p: F.length(p) >= 3)
-    found = F.transform(F.transform(short, _normal), judged)
-    return F.filter(found, lambda m: m["dice"] >= threshold - 1e-9)
+    def fits(passage: Column) -> Column:
+        return (F.length(passage) - F.length(F.replace(passage, F.lit(" "), F.lit("")))).between(max(1, least), most)
+
+    # one transform for each step: a lambda's variable is computed once, an expression each time that it is named
+    fitting = F.filter(F.transform(passages, _normal), fits)
+    bigrams = F.transform(F.transform(fitting, lambda p: F.split(p, " ")), bigrams_of)
+    return F.filter(F.transform(bigrams, dice), lambda m: m["dice"] >= threshold - 1e-9)
 
 
 def scan_licences(df: DataFrame, text: str = "text", templates: Mapping[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD, out: str = "licences") -> DataFrame:
@@ -135,6 +135,8 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     """The same in SQL: every passage with every template whose size its bounds allow."""
     rows = ", ".join("('{}', [{}])".format(name, ", ".join("'" + b.replace("'", "''") + "'" for b in bigram_set(t))) for name, texts in TEMPLATES.items() for t in texts)
+    sizes = [len(bigram_set(t)) for texts in TEMPLATES.values() for t in texts]
+    least, most = min(sizes) * THRESHOLD / (2 - THRESHOLD), max(sizes) * (2 - THRESHOLD) / THRESHOLD
     return f"""
 WITH templates(licence, own) AS (VALUES {rows}),
 d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents),
@@ -146,7 +148,7 @@ u AS (
   SELECT r, row_number() OVER () AS k, string_split(trim(regexp_replace(lower(p), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), ' ') AS words FROM u
 ), b AS (
   SELECT r, k, list_distinct(list_transform(generate_series(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1])) AS grams FROM w
-  WHERE len(words) BETWEEN 2 AND 2000
+  WHERE len(words) - 1 BETWEEN {max(1.0, least)!r} AND {most!r}
 ), s AS (
   SELECT b.r, b.k, x.licence, 2.0 * len(list_intersect(b.grams, x.own)) / (len(b.grams) + len(x.own)) AS dice
   FROM b JOIN templates x ON len(b.grams) BETWEEN len(x.own) * {THRESHOLD / (2 - THRESHOLD)!r} AND len(x.own) * {(2 - THRESHOLD) / THRESHOLD!r}

@@ -13,7 +13,11 @@ def brute(text):
         blocks = re.split(r"\r?\n[ \t]*\r?\n", t)
         passages += (blocks if len(blocks) > 1 else []) + [t]
     found = []
+    sizes = [len(s.bigram_set(x)) for texts in s.TEMPLATES.values() for x in texts]
     for p in passages:
+        n = len(re.findall(r"[^\W_]+", p.lower())) - 1
+        if not min(sizes) * s.THRESHOLD / (2 - s.THRESHOLD) <= n <= max(sizes) * (2 - s.THRESHOLD) / s.THRESHOLD:
+            continue
         own = set(s.bigram_set(p))
         scored = [(2 * len(own & set(s.bigram_set(x))) / (len(own) + len(set(s.bigram_set(x)))), name) for name, texts in s.TEMPLATES.items() for x in texts] if own else []
         if scored and max(scored)[0] >= s.THRESHOLD - 1e-9:
