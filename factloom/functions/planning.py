@@ -95,7 +95,7 @@ def budget(intent: Column, place: int = 0) -> Column:
 
 def clauses(text: Column, most: int = 3) -> Column:
     """Parts of a question between conjunctions and signs, the first few that say something."""
-    return F.slice(F.filter(F.transform(F.split(text, r"(?i)\s+(?:and|but|then)\s+|[;?!]"), F.trim), lambda c: F.length(c) >= 3), 1, most)
+    return F.slice(F.filter(F.transform(F.split(text, r"(?i)\s+(?:and|but|then)\s+|[;?!]"), lambda c: F.trim(c)), lambda c: F.length(c) >= 3), 1, most)
 
 
 def citations(answer: Column) -> Column:

@@ -4,13 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-ITEM = T.StructType.fromDDL(
-    "id string, content string, status string, importance double, confidence double, memoryKey string, validFrom bigint, validTo bigint, createdAt bigint, updatedAt bigint, ownerId string, sourceMessageIds array<string>"
-)
-SNAPSHOT = T.StructType([T.StructField("version", T.IntegerType()), T.StructField("items", T.ArrayType(ITEM))])
-PAYLOAD = T.StructType.fromDDL("entities array<struct<id:string,type:string,text:string,start:int,end:int,score:double>>, facts array<struct<id:string,subject:string,predicate:string,object:string,score:double>>")
+ITEM = "id string, content string, status string, importance double, confidence double, memoryKey string, validFrom bigint, validTo bigint, createdAt bigint, updatedAt bigint, ownerId string, sourceMessageIds array<string>"
+SNAPSHOT = "version int, items array<struct<" + ", ".join(f.replace(" ", ":", 1) for f in ITEM.split(", ")) + ">>"
+PAYLOAD = "entities array<struct<id:string,type:string,text:string,start:int,end:int,score:double>>, facts array<struct<id:string,subject:string,predicate:string,object:string,score:double>>"
 
 
 class BadSnapshot(ValueError):
