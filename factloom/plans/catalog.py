@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from factloom.plans import analysis, jobs, lifecycle, linking, retrieval, writes
+from factloom.plans import analysis, commands, jobs, lifecycle, linking, retrieval, writes
 
-_PARTS = (retrieval, lifecycle, analysis, writes, linking, jobs)
+_PARTS = (retrieval, lifecycle, analysis, writes, linking, commands, jobs)
 QUERIES: dict = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
