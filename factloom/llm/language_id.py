@@ -28,21 +28,28 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import Remembered, held_out, steps, table
+from factloom.llm.common import Remembered, held_out, table, text_runs
 
 BITS, ROWS_PER_LANGUAGE, WORDS_PER_ROW = 18, 600, 120
 WORD = regex.compile(r"\p{L}+")
 UNKNOWN = "und"
 #: Words whose scores a worker keeps.
-KEPT = 300_000
+KEPT = 400_000
 
 
-def word_features(word: str, bits: int = BITS) -> np.ndarray:
-    """Hashed affixes, character n-grams and the word itself."""
-    w = f"^{word}$"
-    names = [f"p{w[1:k]}" for k in (2, 3, 4) if k < len(w)] + [f"s{w[-k:-1]}" for k in (2, 3, 4) if k < len(w)]
-    names += [f"g{w[i : i + n]}" for n in (2, 3) for i in range(len(w) - n + 1)] + [f"w{w}"]
-    return np.unique(np.array([xxhash.xxh3_64_intdigest(n) >> (64 - bits) for n in names], "i8"))
+def _bucket(name: str) -> int:
+    return xxhash.xxh3_64_intdigest(name) >> (64 - BITS)
+
+
+_BUCKETS = Remembered(_bucket, 200_000)
+
+
+def word_features(word: str) -> list[int]:
+    """Hashed affixes, character n-grams and the word itself; what occurs twice counts twice."""
+    w, n, get = f"^{word}$", len(word), _BUCKETS.__getitem__
+    names = ["p" + word[:k] for k in (1, 2, 3) if k <= n] + ["s" + word[-k:] for k in (1, 2, 3) if k <= n]
+    names += [w[i : i + 2] for i in range(n + 1)] + [w[i : i + 3] for i in range(n)]
+    return [*map(get, names), _bucket(w)]
 
 
 @dataclass
@@ -53,20 +60,34 @@ class Crf:
     weights: np.ndarray
     transitions: np.ndarray
     first: np.ndarray
-    known: Remembered = field(default=None, repr=False)
+    known: dict[str, bytes] | None = field(default=None, repr=False)
 
     def __getstate__(self):
         return self.__dict__ | {"known": None}
 
     def emissions(self, words: list[str]) -> np.ndarray:
-        """Scores of the words, one row each."""
+        """Scores of the words, one row each; those of words met before are kept."""
         if self.known is None:
-            self.known = Remembered(self._score, KEPT)
+            self.known = {}
+        met = set(words)
+        missing = met - self.known.keys()
+        if len(self.known) + len(missing) > KEPT:
+            self.known, missing = {}, met
+        if missing:
+            self._learn(list(missing))
         get = self.known.__getitem__
         return np.frombuffer(b"".join(map(get, words)), "f4").reshape(len(words), len(self.languages))
 
-    def _score(self, word: str) -> bytes:
-        return self.weights[word_features(word)].sum(0).astype("f4").tobytes()
+    def _learn(self, words: list[str]) -> None:
+        for at in range(0, len(words), 20_000):
+            some, buckets, sizes = words[at : at + 20_000], [], []
+            for w in some:
+                own = word_features(w)
+                buckets += own
+                sizes.append(len(own))
+            rows = np.add.reduceat(self.weights[np.array(buckets)], np.cumsum(sizes) - sizes, axis=0).astype("f4").tobytes()
+            width = 4 * len(self.languages)
+            self.known.update((w, rows[i * width : (i + 1) * width]) for i, w in enumerate(some))
 
     def marginals(self, sequences: list[list[str]]) -> list[np.ndarray]:
         """Probability of every language for every word of every sequence."""
@@ -82,8 +103,7 @@ class Crf:
         trans, first = np.exp(np.clip(self.transitions, -60, 60)), np.exp(np.clip(self.first, -60, 60))
         live = np.searchsorted(-lengths, -np.arange(int(lengths[0])), "left")  # sequences longer than t
         forward = np.empty((total, states))
-        alpha = first[None, :] * scores[starts]
-        alpha = alpha[: live[0]]
+        alpha = first[None, :] * scores[starts[: live[0]]]
         for t in range(int(lengths[0])):
             n = live[t]
             at = starts[:n] + t
@@ -120,11 +140,11 @@ class Crf:
         return out
 
 
-def fit_crf(rows: list[tuple[list[str], str]], bits: int = BITS, epochs: int = 6, rate: float = 0.5, l2: float = 1e-6, batch: int = 64, seed: int = 7) -> Crf:
+def fit_crf(rows: list[tuple[list[str], str]], epochs: int = 6, rate: float = 0.5, l2: float = 1e-6, batch: int = 64, seed: int = 7) -> Crf:
     """Maximum likelihood by AdaGrad over batches of spliced sequences; the gradient is observed minus expected counts."""
     languages = sorted({lang for _, lang in rows})
     states = len(languages)
-    model = Crf(languages, np.zeros((1 << bits, states), "f4"), np.zeros((states, states)), np.zeros(states))
+    model = Crf(languages, np.zeros((1 << BITS, states), "f4"), np.zeros((states, states)), np.zeros(states))
     if states < 2:
         return model
     of, pick = {lang: i for i, lang in enumerate(languages)}, random.Random(seed)
@@ -136,10 +156,10 @@ def fit_crf(rows: list[tuple[list[str], str]], bits: int = BITS, epochs: int = 6
         for w in words:
             if w not in vocabulary:
                 vocabulary[w] = len(lists)
-                lists.append(word_features(w, bits))
+                lists.append(np.array(word_features(w)))
             ids.append(vocabulary[w])
         snippets += [(ids[i : i + 12], of[lang]) for i in range(0, len(ids), 12)]
-    gw, gt, gf = np.full((1 << bits, states), 1e-8), np.full((states, states), 1e-8), np.full(states, 1e-8)
+    gw, gt, gf = np.full((1 << BITS, states), 1e-8), np.full((states, states), 1e-8), np.full(states, 1e-8)
     for _ in range(epochs):
         pick.shuffle(snippets)
         sequences = []
@@ -217,7 +237,8 @@ def train_languages(docs: DataFrame, key: str = "doc_id", text: str = "text", la
     counts = known.groupBy(F.col(lang).alias("_lang")).count()
     share = F.least(F.lit(1.0), F.lit(1.2 * rows_per_language) / F.col("count"))
     # a fixed number of rows of each language: those under a hash bound, and a limit that makes the number exact at most
-    picked = known.withColumn("_hash", hashed).join(counts, F.col(lang) == F.col("_lang")).where(F.col("_hash") < share * F.lit(float(1 << 40)))
+    # languages are the states of the model, which the driver holds: their counts fit it too
+    picked = known.withColumn("_hash", hashed).join(F.broadcast(counts), F.col(lang) == F.col("_lang")).where(F.col("_hash") < share * F.lit(float(1 << 40)))
     words = F.filter(F.split(F.lower(text), r"\P{L}+"), lambda w: w != "")
     taken = picked.select(F.col(lang).cast("string").alias("lang"), words.alias("words"), "_hash").where(F.size("words") > 0)
     begin = F.pmod(F.col("_hash"), F.greatest(F.lit(1), F.size("words") - words_per_row + 1)).cast("int") + 1
@@ -236,9 +257,9 @@ def label_languages(docs: DataFrame, model: Crf, text: str = "text") -> DataFram
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")
     def label(texts: pa.Array) -> pa.Array:
-        plain, out = [t or "" for t in texts.to_pylist()], []
-        for a, b in steps(plain, 6_000_000):
-            out += shared.value.label(plain[a:b])
+        out = []
+        for plain in text_runs(texts, 3_000_000):
+            out += shared.value.label(plain)
         return pa.StructArray.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())], ["lang_pred", "score"])
 
     return docs.withColumn("_label", label(F.col(text))).withColumns({"lang_pred": F.col("_label.lang_pred"), "score": F.col("_label.score")}).drop("_label")
