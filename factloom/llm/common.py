@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that one step inside a task holds as Python objects; a longer text is a step of its own.
-STEP_CHARS = 4_000_000
+STEP_CHARS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,16 +41,20 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def steps(texts: Sequence[str], most: int = STEP_CHARS) -> Iterator[tuple[int, int]]:
-    """Bounds of consecutive runs of texts with at most `most` characters, or one longer text."""
-    start = total = 0
-    for i, text in enumerate(texts):
-        if total and total + len(text) > most:
-            yield start, i
-            start, total = i, 0
-        total += len(text)
-    if start < len(texts):
-        yield start, len(texts)
+def text_runs(texts: pa.Array, most: int = STEP_CHARS) -> Iterator[list[str]]:
+    """The texts of an Arrow array in order, nulls as empty, in lists of at most `most` characters, or one longer text:
+    Python objects exist for one list at a time."""
+    held, size = [], 0
+    for at in range(0, len(texts), 128):
+        for text in texts.slice(at, 128).to_pylist():
+            text = text or ""
+            if held and size + len(text) > most:
+                yield held
+                held, size = [], 0
+            held.append(text)
+            size += len(text)
+    if held:
+        yield held
 
 
 def held_out(key: Column | str) -> Column:
@@ -74,7 +79,7 @@ def words_of(text: str) -> list[bytes]:
 class Remembered(dict):
     """What `make` gives for a key, kept for up to `most` keys; beyond that, keys are made anew each time."""
 
-    def __init__(self, make, most: int = 500_000):
+    def __init__(self, make, most: int = 60_000):
         super().__init__()
         self.make, self.most = make, most
 

@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import steps, table, words_of
+from factloom.llm.common import table, text_runs, words_of
 
 #: Words of a window, phrases that one pass searches for, and text positions between two kept ones.
 WINDOW, BLOCK, SAMPLED = 10, 200_000, 16
-SHARD_CHARS = 8_000_000
+SHARD_CHARS = 4_000_000
 WORD = re.compile(r"[0-9A-Za-z\u0080-\U0010ffff]+")
 FOUND = "struct<n_words:bigint,spans:array<struct<start:int,end:int>>,items:array<string>>"
 
@@ -191,9 +191,9 @@ def finder(shared):
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            plain, rows = [t or "" for t in batch.to_pylist()], []
-            for a, b in steps(plain, SHARD_CHARS):
-                rows += shared.value.hits(plain[a:b])
+            rows = []
+            for plain in text_runs(batch, SHARD_CHARS):
+                rows += shared.value.hits(plain)
             spans = pa.array(([{"start": s, "end": e} for s, e in r[1]] for r in rows), span)
             yield pa.StructArray.from_arrays([pa.array((r[0] for r in rows), pa.int64()), spans, pa.array((r[2] for r in rows), pa.list_(pa.string()))], ["n_words", "spans", "items"])
 

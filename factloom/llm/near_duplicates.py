@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import Remembered, mix64, steps, stored, table, words_of
+from factloom.llm.common import Remembered, mix64, stored, table, text_runs, words_of
 
 SIZE, BANDS, ROWS, SIMILARITY = 5, 28, 5, 0.8
 #: A sketch estimate this far below the similarity, six standard deviations of 140 registers, needs no verification.
@@ -104,9 +104,9 @@ def with_sketch(docs: DataFrame, text: str, bands: int, rows: int, size: int) ->
 
     @F.arrow_udf("struct<keys:array<bigint>,registers:binary>")
     def sketch(texts: pa.Array) -> pa.Array:
-        plain, keys, registers = [t or "" for t in texts.to_pylist()], [], []
-        for a, b in steps(plain):
-            who, worded = sketches(plain[a:b], bands * rows, size)
+        keys, registers = [], []
+        for plain in text_runs(texts):
+            who, worded = sketches(plain, bands * rows, size)
             buckets, low = bucket_keys(who, bands, rows), (who & np.uint64(255)).astype("u1")
             keys += [k if w else k[:0] for k, w in zip(buckets, worded, strict=True)]
             registers += [r.tobytes() for r in low]

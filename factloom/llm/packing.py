@@ -15,7 +15,6 @@ and the text aren't read, so extra ones can't clash.
 from __future__ import annotations
 
 import bisect
-import gc
 import re
 import zlib
 from collections import defaultdict
@@ -23,88 +22,63 @@ from collections.abc import Mapping
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import shards, steps, stored, table
+from factloom.llm.common import Remembered, shards, stored, table, text_runs
 
 CAPACITY, END_ID = 4096, 1
-#: Words and runs of words kept with their ids by a worker; when full they are dropped and gathered anew.
-WORDS, CHUNKS = 700_000, 700_000
+#: Words that a worker keeps with their ids.
+WORDS = 150_000
 #: Pieces of one length that are ranked in one task.
 RANKED = 100_000
 
-# Fixed value: the pattern by which the tokenizer splits a text, for characters on which both libraries agree.
-PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-PLAIN = re.compile(r"[!-~¡-¬®-ɏ]+")
+# The pattern by which the tokenizer splits a normal text, its classes of letters and numbers spelled out for
+# the characters that PLAIN allows; all others are left to the tokenizer.
+_LETTERS, _NUMBERS = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ſ", "0-9\xb2\xb3\xb9\xbc-\xbe"
+PIECE = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
+PLAIN = re.compile("[ \n!-~\xa1-\xac\xae-įı-ſ]*")
 SPECIAL = "<|"
+# Byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on, in order.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_OTHERS = [b for b in range(256) if b not in _PRINTED]
+BYTE_CHARS = [chr(b) if b in _PRINTED else chr(256 + _OTHERS.index(b)) for b in range(256)]
 
 
 class WordTokenizer:
-    """Ids of texts by a word-end BPE tokenizer, as little-endian 32-bit bytes. No token spans white space, so that the
-    ids of a text are those of its runs between spaces and line ends, in order; runs and words seen before are looked up."""
+    """Ids of texts by a word-end BPE tokenizer, as little-endian 32-bit bytes. No token spans the border of two words as
+    the tokenizer's pattern splits them, so that the ids of a text are those of its words, which are looked up."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        ends = [i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]
-        self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
-        self.ends[ends] = True
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.merge = self.tokenizer.model.tokenize
+        self.words = Remembered(self.word, WORDS)
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn_words(self, words: list[str]) -> None:
-        """One call for many words; each word's ids end at the first id that ends a word."""
-        for at in range(0, len(words), 20_000):
-            some = words[at : at + 20_000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(some):
-                raw, bounds = ids.tobytes(), [0, *(cuts * 4).tolist()]
-                self.words.update((w, raw[bounds[i] : bounds[i + 1]]) for i, w in enumerate(some))
-            else:
-                self.words.update((w, self.encode(w)) for w in some)
-
-    def learn(self, missing: set[str]) -> None:
-        if len(self.chunks) + len(missing) > CHUNKS:
-            self.chunks = {}
-        if len(self.words) > WORDS:
-            self.words = {}
-        split = {}
-        for c in missing:
-            if PLAIN.fullmatch(c) and SPECIAL not in c:
-                split[c] = PIECE.findall(c.lower())
-            else:
-                self.chunks[c] = self.encode(c) if c else b""
-        self.learn_words(list({w for ws in split.values() for w in ws} - self.words.keys()))
-        word = self.words
-        self.chunks.update((c, word[ws[0]] if len(ws) == 1 else b"".join([word[w] for w in ws])) for c, ws in split.items())
+    def word(self, word: str) -> bytes:
+        """Of one word as the pattern splits it: the model's merges alone, over the characters that stand for its bytes."""
+        if not word.isascii():
+            word = "".join([BYTE_CHARS[b] for b in word.encode()])
+        return b"".join([t.id.to_bytes(4, "little") for t in self.merge(word)])
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        collecting = gc.isenabled()
-        gc.disable()  # nothing here is cyclic, and the caches are costly to walk
-        try:
-            return self._ids(texts)
-        finally:
-            if collecting:
-                gc.enable()
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        runs = [t.replace("\n", " ").split(" ") for t in texts]
-        needed = set().union(*runs)
-        missing = needed - self.chunks.keys()
-        if missing:
-            size = len(self.chunks)
-            self.learn(missing)
-            if len(self.chunks) < size:  # dropped: those needed here are gathered again
-                self.learn(needed - self.chunks.keys())
-        get = self.chunks.__getitem__
-        return [b"".join(map(get, r)) for r in runs]
+        get = self.words.__getitem__
+        plain = ((t, PLAIN.fullmatch(t) and SPECIAL not in t) for t in texts)
+        return [b"".join(map(get, PIECE.findall(t.lower()))) if p else self.odd(t) for t, p in plain]
+
+    def odd(self, text: str) -> bytes:
+        """A text with other characters: its runs between spaces and line ends, each by its words if it is plain."""
+        get, out = self.words.__getitem__, []
+        for run in re.split("[ \n]+", text):
+            if PLAIN.fullmatch(run) and SPECIAL not in run:
+                out += map(get, PIECE.findall(run.lower()))
+            else:
+                out.append(self.encode(run))
+        return b"".join(out)
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -134,9 +108,9 @@ def token_pieces(df: DataFrame, key: str = "doc_id", text: str = "text", *, path
 
     @F.arrow_udf("array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint" + ",ids:array<int>" * with_ids + ">>")
     def pieces(texts: pa.Array) -> pa.Array:
-        tok, plain, out = tokenizer_of(path), [t or "" for t in texts.to_pylist()], []
-        for a, b in steps(plain, 1_000_000):
-            out += [cut(raw + end) for raw in tok.ids(plain[a:b])]
+        tok, out = tokenizer_of(path), []
+        for plain in text_runs(texts):
+            out += [cut(raw + end) for raw in tok.ids(plain)]
         return pa.array(out, kind)
 
     return df.select(F.col(key), F.inline(pieces(F.col(text))))

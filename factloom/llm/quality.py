@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import Remembered, held_out, mix64, steps, table
+from factloom.llm.common import Remembered, held_out, mix64, table, text_runs
 
 BITS, TRAIN_ROWS, EPOCHS = 18, 6000, 8
 THRESHOLD = 0.3
@@ -110,8 +110,7 @@ def score_quality(docs: DataFrame, model: FtrlModel, text: str = "text", out: st
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        plain = [t or "" for t in texts.to_pylist()]
-        return pa.array(np.concatenate([shared.value.scores(plain[a:b]) for a, b in steps(plain)] or [np.empty(0)]))
+        return pa.array(np.concatenate([shared.value.scores(plain) for plain in text_runs(texts)] or [np.empty(0)]))
 
     return docs.withColumn(out, score(F.col(text)))
 

@@ -22,7 +22,6 @@ def test_ids_are_the_tokenizers():
 
 
 def test_caches_that_overflow_give_the_same_ids(monkeypatch):
-    monkeypatch.setattr("factloom.llm.packing.CHUNKS", 5)
     monkeypatch.setattr("factloom.llm.packing.WORDS", 3)
     texts = [f"alpha{i} beta{i}! gamma, delta{i % 3}" for i in range(40)]
     tok = WordTokenizer(PATH)
