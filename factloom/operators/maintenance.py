@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows on one side of a tile: what one task compares with as many others.
+TILE = 500
+
 
 def feedback_signals(events: DataFrame, fact: str = "fact_id", outcome: str = "outcome") -> DataFrame:
     """Counts of adopted, corrected, denied and all reports of each fact, in one pass."""
@@ -64,12 +67,43 @@ def summaries(rows: DataFrame, by: list[str], key: str, text: str, at: str, most
     )
 
 
-def rare_token_candidates(docs: DataFrame, id: str, scope: str, tokens: Column, rarest: int = 3, most: int = 500) -> DataFrame:
-    """Candidate pairs (a < b) of a scope that share one of their rarest tokens; tokens of more than `most` documents of
-    a scope block nothing, which is the feature here, as such tokens tell nothing about a document."""
-    terms = docs.select(scope, id, F.explode(F.array_distinct(tokens)).alias("token"))
-    df = terms.groupBy(scope, "token").agg(F.count("*").alias("df"))
-    ranked = terms.join(df.where(F.col("df").between(2, most)), [scope, "token"]).withColumn("_n", F.row_number().over(Window.partitionBy(scope, id).orderBy("df", "token")))
-    keyed = ranked.where(F.col("_n") <= rarest).select(scope, "token", id)
-    left, right = keyed.withColumnRenamed(id, "a"), keyed.withColumnRenamed(id, "b")
-    return left.join(right, [scope, "token"]).where("a < b").select(scope, "a", "b").distinct()
+def _tiles(rows: DataFrame, by: list[str], unit: str) -> tuple[DataFrame, DataFrame]:
+    """rows twice, with (_i, _j): each group of `by`, dealt by `unit` into tiles of about TILE rows, meets itself tile by tile."""
+    sized = rows.join(rows.groupBy(*by).agg(F.ceil(F.count("*") / TILE).cast("int").alias("_tiles")), by)
+    own, all_ = F.pmod(F.xxhash64(unit), F.col("_tiles")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))
+    return sized.withColumn("_i", own).withColumn("_j", all_).drop("_tiles"), sized.withColumn("_j", own).withColumn("_i", all_).drop("_tiles")
+
+
+def rare_token_pairs(docs: DataFrame, id: str, scope: str, tokens: Column, least: float, rarest: int = 3) -> DataFrame:
+    """Pairs (a < b) of a scope that share one of their rarest tokens (of two documents at least, of any number at most),
+    with the Jaccard of their token sets, rounded, where it is `least` or more.
+
+    Documents with equal token sets are one class. Classes are compared, each pair where it shares its first token
+    alone; then members take the place of classes. Both steps go by tiles, so that no token or class meets in one task."""
+    rows = docs.where(F.col(scope).isNotNull()).select(scope, id, F.array_sort(F.array_distinct(tokens)).alias("toks")).where(F.size("toks") > 0)
+    rows = rows.withColumn("cls", F.md5(F.array_join("toks", " ").cast("binary")))
+    classes = rows.groupBy(scope, "cls").agg(F.first("toks").alias("toks"), F.count("*").alias("n"))
+    terms = classes.select(scope, "cls", "n", F.explode("toks").alias("token"))
+    df = terms.groupBy(scope, "token").agg(F.sum("n").alias("df")).where("df > 1")
+    listed = terms.join(df, [scope, "token"]).groupBy(scope, "cls").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "token"))), 1, rarest)["token"].alias("keys"))
+    keyed = classes.select(scope, "cls", "toks").join(listed, [scope, "cls"]).withColumn("token", F.explode("keys"))
+    left, right = _tiles(keyed, [scope, "token"], "cls")
+    left, right = left.withColumnsRenamed({"cls": "x", "toks": "tx", "keys": "kx"}), right.withColumnsRenamed({"cls": "y", "toks": "ty", "keys": "ky"})
+    both = F.size(F.array_intersect("tx", "ty"))
+    jaccard = F.round(both / (F.size("tx") + F.size("ty") - both).cast("double"), 6)
+    met = left.join(right, [scope, "token", "_i", "_j"]).where((F.col("x") < F.col("y")) & (F.array_intersect("kx", "ky")[0] == F.col("token")))
+    across = met.withColumn("jaccard", jaccard).where(F.col("jaccard") >= least).select(scope, "x", "y", "jaccard")
+    return _members(rows.select(scope, "cls", id), across, id, scope)
+
+
+def _members(rows: DataFrame, across: DataFrame, id: str, scope: str) -> DataFrame:
+    """Pairs of documents: those of one class, with Jaccard 1, and those of two linked classes."""
+    sizes = rows.groupBy(scope, "cls").agg(F.ceil(F.count("*") / TILE).cast("int").alias("_tiles"), F.count("*").alias("_n"))
+    dealt = rows.join(sizes, [scope, "cls"]).select(scope, "cls", id, F.pmod(F.xxhash64(id), F.col("_tiles")).cast("int").alias("_i"))
+    within = sizes.where("_n > 1").select(scope, F.col("cls").alias("x"), F.col("cls").alias("y"), F.lit(1.0).alias("jaccard"))
+    many = lambda side: sizes.select(scope, F.col("cls").alias(side), F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).alias("_" + side))
+    linked = across.unionByName(within).join(many("x"), [scope, "x"]).join(many("y"), [scope, "y"])
+    one = dealt.withColumnsRenamed({"cls": "x", "_i": "_x", id: "p"})
+    two = dealt.withColumnsRenamed({"cls": "y", "_i": "_y", id: "q"})
+    pairs = linked.join(one, [scope, "x", "_x"]).join(two, [scope, "y", "_y"]).where((F.col("x") != F.col("y")) | (F.col("p") < F.col("q")))
+    return pairs.select(scope, F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "jaccard")

@@ -222,12 +222,7 @@ SELECT source, key, count(*) AS copies, min(doc_id) AS first_id, max(doc_id) AS
 
 def rare_token_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of one source that share a rarest token and half of their words."""
-    docs = views.read(spark, sf_dir, "documents").withColumn("toks", F.array_distinct(text.word_tokens("text")))
-    pairs = maintenance.rare_token_candidates(docs, "doc_id", "source", F.col("toks"))
-    left, right = docs.select(F.col("doc_id").alias("a"), F.col("toks").alias("ta")), docs.select(F.col("doc_id").alias("b"), F.col("toks").alias("tb"))
-    both = F.size(F.array_intersect("ta", "tb"))
-    jaccard = both / (F.size("ta") + F.size("tb") - both).cast("double")
-    return pairs.join(left, "a").join(right, "b").select("source", "a", "b", F.round(jaccard, 6).alias("jaccard")).where("jaccard >= 0.5")
+    return maintenance.rare_token_pairs(views.read(spark, sf_dir, "documents"), "doc_id", "source", text.word_tokens("text"), 0.5)
 
 
 RARE_TOKEN_DUPLICATES = """WITH d AS (SELECT source, doc_id, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS toks FROM documents),
