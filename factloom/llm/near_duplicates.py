@@ -1,18 +1,19 @@
-"""Near duplicates: ProbMinHash sketches of weighted word shingles, banding, and exact verification.
+"""Near duplicates: ProbMinHash sketches of word shingles, banding, and exact verification.
 
-A shingle is five consecutive words, a shorter text is one shingle; its weight is 1 + ln(count). Each shingle is a
-Poisson process of its weight's rate, whose arrivals fall on the sketch's registers at random; a register keeps the
-shingle that arrives first. Two sketches agree in a register with the probability Jaccard of the weighted shingles. A
-shingle stops as soon as its next arrival is later than the latest register of its text, so that a long text costs
-about one arrival for each shingle, whatever the number of registers.
+A shingle is five consecutive words, a shorter text is one shingle; all have the weight 1 here, as the similarity that
+is verified is that of sets. Each shingle is a Poisson process of its weight's rate, whose arrivals fall on the sketch's
+registers at random; a register keeps the shingle that arrives first. Two sketches agree in a register with the
+probability Jaccard of the weighted shingles, with equal weights the Jaccard of their sets. A shingle stops as soon as
+its next arrival is later than the latest register of its text, so that a long text costs about one arrival for each
+shingle, whatever the number of registers.
 
 Bands of five registers are bucket keys. Equal texts are one node. In each bucket, every node is first verified against
-the bucket's first node, and verified links become classes. A bucket of three or more nodes that still holds several
-classes is then compared whole: its nodes are dealt into tiles of a bounded number of texts, each pair of tiles counts
-all common shingles at once by block products, and gives back the links that join different classes. So every pair that
-shares a bucket is either in one class already or verified; no list of all pairs of a bucket is made, and no bucket
-meets in one task. Verification is exact: Jaccard of the sets of shingles, 0.8 or more. With 28 bands a pair at 0.8 shares
-no bucket in 1 of 70,000 cases, at 0.85 in 1 of 10 million.
+the bucket's first node, whatever their sketches say, and verified links become classes. A bucket of three or more nodes
+that still holds several classes is then compared whole: its nodes are dealt into tiles of a bounded number of texts,
+each pair of tiles counts all common shingles at once by block products, and gives back the links that join different
+classes. So every pair that shares a bucket is either in one class already or verified; no list of all pairs of a bucket
+is made, and no bucket meets in one task. Verification is exact: Jaccard of the sets of shingles, 0.8 or more. With 28
+bands a pair at 0.8 shares no bucket in 1 of 70,000 cases, at 0.85 in 1 of 10 million.
 
 Defined results: a row with a null text is a class of its own; equal texts, empty ones too, are one class; texts without
 words are near-duplicates of equal texts only; texts of any length are sketched whole; repeated rows belong to one
@@ -32,8 +33,6 @@ from pyspark.sql import functions as F
 from factloom.llm.common import Remembered, mix64, stored, table, text_runs, words_of
 
 SIZE, BANDS, ROWS, SIMILARITY = 5, 28, 5, 0.8
-#: A sketch estimate this far below the similarity, six standard deviations of 140 registers, needs no verification.
-ESTIMATE = 0.6
 #: Texts on one side of a tile, columns of one block product, and pairs that go to one task with one bucket's first text.
 TILE, BLOCK, FAN = 1024, 8192, 2000
 _HASHES = Remembered(xxhash.xxh3_64_intdigest)
@@ -66,10 +65,11 @@ def shingles(texts: list[str], size: int = SIZE) -> tuple[np.ndarray, np.ndarray
     return owner[new], hashed[new], np.diff(np.append(new, len(hashed)))
 
 
-def sketches(texts: list[str], registers: int, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
-    """(registers of each text, whether the text has words): which shingle arrives first in each register."""
+def sketches(texts: list[str], registers: int, size: int = SIZE, weighted: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(registers of each text, whether the text has words): which shingle arrives first in each register. A shingle's
+    weight is 1 + ln(count), or 1."""
     owner, hashed, counts = shingles(texts, size)
-    rate = 1 + np.log(counts)
+    rate = 1 + np.log(counts) if weighted else np.ones(len(counts))
     first = np.full(len(texts) * registers, np.inf)
     who = np.zeros(len(texts) * registers, "u8")
     latest, time, live = np.full(len(texts), np.inf), np.zeros(len(hashed)), np.arange(len(hashed))
@@ -100,30 +100,17 @@ def bucket_keys(who: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def with_sketch(docs: DataFrame, text: str, bands: int, rows: int, size: int) -> DataFrame:
-    """docs with keys (buckets; none for a text without words) and registers (a byte of each)."""
+    """docs with keys (buckets; none for a text without words)."""
 
-    @F.arrow_udf("struct<keys:array<bigint>,registers:binary>")
+    @F.arrow_udf("array<bigint>")
     def sketch(texts: pa.Array) -> pa.Array:
-        keys, registers = [], []
+        keys = []
         for plain in text_runs(texts):
-            who, worded = sketches(plain, bands * rows, size)
-            buckets, low = bucket_keys(who, bands, rows), (who & np.uint64(255)).astype("u1")
-            keys += [k if w else k[:0] for k, w in zip(buckets, worded, strict=True)]
-            registers += [r.tobytes() for r in low]
-        return pa.StructArray.from_arrays([pa.array(keys, pa.list_(pa.int64())), pa.array(registers, pa.binary())], ["keys", "registers"])
+            who, worded = sketches(plain, bands * rows, size, weighted=False)
+            keys += [k if w else k[:0] for k, w in zip(bucket_keys(who, bands, rows), worded, strict=True)]
+        return pa.array(keys, pa.list_(pa.int64()))
 
-    return docs.withColumn("_sketch", sketch(F.col(text))).withColumns({"keys": F.col("_sketch.keys"), "registers": F.col("_sketch.registers")}).drop("_sketch")
-
-
-def agreement_of():
-    """Share of equal registers, corrected for bytes that agree by chance."""
-
-    @F.arrow_udf("double")
-    def agreement(a: pa.Array, b: pa.Array) -> pa.Array:
-        x, y = (np.frombuffer(b"".join(s.to_pylist()), "u1").reshape(len(s), -1) for s in (a, b))
-        return pa.array(((x == y).mean(1) - 1 / 256) / (1 - 1 / 256) if len(x) else np.empty(0))
-
-    return agreement
+    return docs.withColumn("keys", sketch(F.col(text)))
 
 
 def jaccard_of(size: int):
@@ -200,7 +187,7 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
     rows_df = stored(with_sketch(numbered, "text", bands, rows, size).drop("text"), "sketches")
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "row")
     nodes = stored(
-        rows_df.where("node is not null").groupBy("node").agg(F.min(order).alias("first"), F.first("keys").alias("keys"), F.first("registers").alias("registers")), "nodes"
+        rows_df.where("node is not null").groupBy("node").agg(F.min(order).alias("first"), F.first("keys").alias("keys")), "nodes"
     )
     texts = numbered.select(F.col("node").alias("_node"), "text", F.col("id").alias("_id")).where("_node is not null")
 
@@ -212,20 +199,12 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
     buckets = stored(nodes.select("node", F.explode("keys").alias("bucket")), "buckets")
     leaders = buckets.groupBy("bucket").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1")
     met = stored(buckets.join(leaders, "bucket"), "met")
-    pairs = met.where("node <> lead").select("node", "lead").distinct()
-    sketch = nodes.select("node", "registers")
-    likely = (
-        pairs.join(sketch, "node")
-        .join(sketch.select(F.col("node").alias("lead"), F.col("registers").alias("lead_registers")), "lead")
-        .where(agreement_of()("registers", "lead_registers") >= ESTIMATE)
-        .select("node", "lead")
-    )
-    likely = stored(likely, "likely")
-    fans = likely.groupBy("lead").agg(F.ceil(F.count("*") / FAN).cast("int").alias("fan"))
+    pairs = stored(met.where("node <> lead").select("node", "lead").distinct(), "pairs")
+    fans = pairs.groupBy("lead").agg(F.ceil(F.count("*") / FAN).cast("int").alias("fan"))
     firsts = nodes.select("node", F.col("first.id").alias("id"))
-    wanted = stored(text_of(firsts.join(likely.select("node").union(likely.select("lead")).distinct(), "node")), "texts")
+    wanted = stored(text_of(firsts.join(pairs.select("node").union(pairs.select("lead")).distinct(), "node")), "texts")
     lead_texts = wanted.withColumnsRenamed({"node": "lead", "text": "lead_text"}).join(fans, "lead").select("lead", "lead_text", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("part"))
-    placed = likely.join(fans, "lead").select("node", "lead", F.pmod(F.xxhash64("node"), F.col("fan")).cast("int").alias("part"))
+    placed = pairs.join(fans, "lead").select("node", "lead", F.pmod(F.xxhash64("node"), F.col("fan")).cast("int").alias("part"))
     verified = placed.join(wanted, "node").join(lead_texts, ["lead", "part"]).sortWithinPartitions("lead").where(jaccard_of(size)("text", "lead_text") >= similarity)
     links = stored(verified.select(F.col("node").alias("a"), F.col("lead").alias("b")), "verified")
     labels = components(links)

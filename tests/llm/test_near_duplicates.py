@@ -103,6 +103,16 @@ def test_crowded_bucket_in_tiles(spark, monkeypatch):
     assert got == {rows[i][0]: c for i, c in want.items()}
 
 
+def test_lines_that_repeat_very_differently_often(spark):
+    """Pairs with one set of shingles, in which one text repeats three tenths of them 300 times."""
+    rows = []
+    for k in range(25):
+        lines, rest = [f"c{k}x{i}" for i in range(60)], [f"d{k}x{i}" for i in range(140)]
+        rows += [(2 * k + (times > 1), " ".join(lines * times + lines[:4] + rest)) for times in (1, 300)]
+    got = {r.id: r.first_id for r in n.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(50)}
+
+
 def test_joining_links_connect_what_is_connected():
     rng = random.Random(6)
     texts = []
