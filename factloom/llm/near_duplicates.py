@@ -180,10 +180,10 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", *, size: int = SIZE, bands: int = BANDS, rows: int = ROWS, similarity: float = SIMILARITY) -> DataFrame:
-    """(row, id, first_row, first_id) of every row of docs: row numbers those of monotonically_increasing_id() over docs,
+def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", *, size: int = SIZE, bands: int = BANDS, rows: int = ROWS, similarity: float = SIMILARITY, row: str | None = None) -> DataFrame:
+    """(row, id, first_row, first_id) of every row of docs: row numbers those of the column row, or numbers given here;
     first_row and first_id those of the class's first row by id (nulls last) and row number."""
-    numbered = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row")).withColumn("node", F.unhex(F.md5("text")))
+    numbered = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), (F.col(row) if row else F.monotonically_increasing_id()).alias("row")).withColumn("node", F.unhex(F.md5("text")))
     rows_df = stored(with_sketch(numbered, "text", bands, rows, size).drop("text"), "sketches")
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "row")
     nodes = stored(
@@ -241,10 +241,12 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the first row of each class alone. docs must be read from a table, so that rows keep their numbers."""
-    classes = near_duplicate_classes(docs, key, text)
+    """docs with the first row of each class alone. Row numbers are written once with the rows: numbers of two scans
+    differ where the splits do."""
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    classes = near_duplicate_classes(rows, key, text, row="_row")
     kept = classes.where(F.col("row") == F.col("first_row")).select(F.col("row").alias("_row"))
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(kept, "_row", "left_semi").drop("_row")
+    return rows.join(kept, "_row", "left_semi").drop("_row")
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

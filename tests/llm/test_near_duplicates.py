@@ -142,3 +142,20 @@ def test_odd_documents(odd_docs, no_docs, spark, tmp_path):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 2, 3, 4, 5, 6, 7, None, None, 8], key=str)
     assert n.near_duplicate_classes(no_docs).count() == 0
+
+
+def test_survivors_do_not_depend_on_the_splits_of_a_later_scan(spark, tmp_path, monkeypatch):
+    rows = [(i, f"text {i // 2} of a few words") for i in range(16)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(8).write.parquet(str(tmp_path / "d"))
+    docs, classes = spark.read.parquet(str(tmp_path / "d")), n.near_duplicate_classes
+
+    def splits_change(*args, **named):
+        found = classes(*args, **named)
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        return found
+
+    monkeypatch.setattr(n, "near_duplicate_classes", splits_change)
+    try:
+        assert sorted(r.doc_id for r in n.drop_near_duplicates(docs).collect()) == list(range(0, 16, 2))
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
