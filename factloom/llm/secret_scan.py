@@ -3,8 +3,9 @@
 A candidate is a maximal run of 20 or more characters out of ``[A-Za-z0-9+/_.=-]``. A window of 20 characters moves over
 it. The counts of its characters, and the sum of c * log2(c) over them, change by the one character that leaves and the
 one that enters, so that a step costs the same for any window. Windows at or above the threshold of their character
-class are merged into one span of kind ``entropy``. The allow-list drops candidates that look like prose, paths,
-identifiers or placeholders.
+class are merged into one span of kind ``entropy``. The allow-list drops pieces that look like prose, paths or
+identifiers: a candidate that begins with a host name loses the host, and each segment of its path is a piece; any other
+candidate is one piece. Words that mark an example hide the windows within WINDOW characters of them, not the others.
 
 Defined results: null and empty texts have no spans; texts of any length are read whole, in one linear pass for each
 rule; repeated rows each get their own result; a column of the output's name is replaced.
@@ -35,25 +36,29 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{20,}")
 WINDOW = 20
 #: Bits that a window must reach, by character class; a class is told by the characters that the window holds.
 THRESHOLDS = {"hex": 3.0, "mixed": 3.7}
-#: Candidates that are no secrets: letters alone, numbers alone, one-case words joined by dots, dashes, underlines or
-#: slashes, host names and paths, rules and paddings, and strings that say that they are examples.
+#: Those that scans use: tokens of digits and letters of one case too.
+SCANNED = THRESHOLDS | {"lower": 3.5, "upper": 3.5}
+#: Pieces that are no secrets: letters alone, numbers alone, one-case words joined by dots, dashes, underlines or slashes,
+#: rules and paddings, and UUIDs.
 ALLOW = tuple(
     re.compile(p)
     for p in (
         r"[A-Za-z]+\Z",
         r"[0-9+/_.=-]+\Z",
         r"(?:[a-z]+|[A-Z]+|[0-9]{1,8})(?:[-_./=](?:[a-z]+|[A-Z]+|[0-9]{1,8}))*[-_./=]*\Z",
-        r"(?i)/{0,2}(?:www\.|[a-z0-9.-]+\.(?:com|org|net|io)(?:/|\Z))",
-        r"(?i).*(?:example|placeholder|changeme|xxxx|your[_-]?)",
         r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\Z",
     )
 )
+#: The host name that a candidate begins with, and words that mark an example.
+HOST = re.compile(r"(?i)/{0,2}(?:www\.[a-z0-9.-]*|[a-z0-9.-]+\.(?:com|org|net|io))(?:/|\Z)")
+EXAMPLE = re.compile(r"(?i)example|placeholder|changeme|xxxx+|your[_-]?")
 _WEIGHT = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 
 
 def hot_windows(text: str, window: int = WINDOW, thresholds: dict[str, float] = THRESHOLDS) -> list[tuple[int, int]]:
     """Merged spans of the windows whose entropy reaches their class's threshold. Class hex: digits and a-f or A-F only,
-    with both a digit and a letter; class mixed: digits, upper and lower case letters all occur."""
+    with both a digit and a letter; class mixed: digits, upper and lower case letters all occur; classes lower and upper:
+    digits and letters of that case only, both of which occur. A class without a threshold is passed over."""
     if len(text) < window:
         return []
     weight = _WEIGHT if window == WINDOW else [0.0] + [c * math.log2(c) for c in range(1, window + 1)]
@@ -80,6 +85,8 @@ def hot_windows(text: str, window: int = WINDOW, thresholds: dict[str, float] =
                 least = thresholds["hex"]
             elif present[0] and present[1] and present[2]:
                 least = thresholds["mixed"]
+            elif present[0] and present[1] + present[2] and not present[3]:
+                least = thresholds.get("lower" if present[1] else "upper", math.inf)
             else:
                 continue
             if whole - total / window >= least - 1e-9:
@@ -91,6 +98,26 @@ def hot_windows(text: str, window: int = WINDOW, thresholds: dict[str, float] =
     return spans
 
 
+def pieces(candidate: str) -> list[tuple[int, int]]:
+    """Spans of the candidate that are judged apart: the segments after a host name, or the whole."""
+    host = HOST.match(candidate)
+    return [m.span() for m in re.compile("[^/]+").finditer(candidate, host.end())] if host else [(0, len(candidate))]
+
+
+def entropy_spans(candidate: str, allow: tuple[re.Pattern, ...]) -> list[tuple[int, int]]:
+    """Spans of hot windows in the candidate that neither the allow-list nor a near word for examples hides."""
+    found = []
+    for start, end in pieces(candidate):
+        piece = candidate[start:end]
+        if len(piece) < WINDOW or any(a.match(piece) for a in allow):
+            continue
+        at = 0
+        for a, b in [(m.start() - WINDOW, m.end() + WINDOW) for m in EXAMPLE.finditer(piece)] + [(len(piece),) * 2]:
+            found += [(start + at + s, start + at + e) for s, e in hot_windows(piece[at : max(a, at)], WINDOW, SCANNED)]
+            at = max(at, b)
+    return found
+
+
 def spans_of(text: str | None, allow: tuple[re.Pattern, ...] = ALLOW) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, end exclusive, by start and then by kind as listed in KINDS."""
     if not text:
@@ -103,8 +130,7 @@ def spans_of(text: str | None, allow: tuple[re.Pattern, ...] = ALLOW) -> list[tu
         found += [("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= ACCESS_LENGTH]
     for m in CANDIDATE.finditer(text):  # holds every run of 32 hexadecimal digits whole
         found += [("hex", m.start() + h.start(), m.start() + h.end()) for h in HEX.finditer(m[0])]
-        if not any(a.match(m[0]) for a in allow):
-            found += [("entropy", m.start() + s, m.start() + e) for s, e in hot_windows(m[0])]
+        found += [("entropy", m.start() + s, m.start() + e) for s, e in entropy_spans(m[0], allow)]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

@@ -47,6 +47,17 @@ def test_method_adds_and_allow_list_suppresses():
         assert s.spans_of(fine) == []
 
 
+def test_one_case_tokens_url_paths_and_examples_far_away():
+    base36, base32, mixed = "k3v9x0q7m2z8b5t1w6r4", "JBSWY3DPEHPK3PXQ7MZK2TNA", "q8Zr2LmT0vXc7Yb1Ns5Kd9Wf"
+    assert s.spans_of(f"key {base36} here") == [("entropy", 4, 24)]
+    assert s.spans_of(f"seed {base32} here") == [("entropy", 5, 29)]
+    hook = f"https://hooks.slack.com/services/T012AB/B345CD/{mixed}"
+    assert s.spans_of(hook) == [("entropy", len(hook) - 24, len(hook))]
+    run = f"{mixed}{mixed[::-1]}xxxx{mixed}{mixed[::-1]}"
+    assert s.spans_of(run) == [("entropy", 0, 28), ("entropy", 72, 100)]
+    assert s.spans_of("https://www.site-name.com/some-plain/words-of-a-long-title/index") == []
+
+
 def test_redaction_merges_overlaps():
     text = "token=abcdefgh12 and " + "deadbeef" * 4
     assert s.redacted(text, s.spans_of(text)) == "[REDACTED] and [REDACTED]"
