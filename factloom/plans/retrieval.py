@@ -95,7 +95,8 @@ DENSE_THRESHOLD = f"WITH {_DENSE} SELECT query_id, id, score FROM s WHERE score
 
 
 def _routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three rankings of documents for every phrase: BM25 over all, BM25 over active documents, and shared rare words."""
+    """Two rankings of documents for every phrase: BM25 over all, and BM25 over active documents (those of even id, which
+    stand in for a state). A third route, shared rare words, is missing."""
     def ranked(df: DataFrame, name: str) -> DataFrame:
         return lexical.top_per(df, ["query_id"], 50, F.desc("score"), F.asc("id")).select("query_id", "id", F.lit(name).alias("route"), "rank")
 

@@ -68,6 +68,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries: characters 11 to 90 of every benchmark text, as in the SQL, not the whole text."""
     b = read(spark, sf_dir, "benchmark")
     return b.select(F.col("item_id").alias("query_id"), F.substring("text", 11, 80).alias("text"))
 
