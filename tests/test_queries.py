@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from conftest import SF
+from core_helpers import SF
 from factloom.plans import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF
+from core_helpers import SF
 from factloom.streaming import jobs
 
 
