@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,9 +13,21 @@ from pyspark.sql import functions as F
 
 #: Characters of text that one step inside a task holds as Python objects; a longer text is a step of its own.
 STEP_CHARS = 1_000_000
+#: Bytes of an Arrow batch on its way to Python, and of a row group that a writing task holds.
+BATCH_BYTES, ROW_GROUP = 4_000_000, 16_000_000
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, as texts differ much in length; a smaller bound of the session's own stays. One
+    longer text is a batch of its own."""
+    held = re.fullmatch(r"(\d+)b?", spark.conf.get(_BATCH))
+    if held and int(held[1]) > BATCH_BYTES:
+        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -36,11 +49,33 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """df, written once as Parquet in the shared folder and read again: cuts lineage and survives lost executors."""
+    bounded_batches(df.sparkSession)
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one job, stored in a folder of its own. cleared() stores a result apart and deletes that folder."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.label, self.root = spark, label, scratch_path(spark, label)
+        self.tables = 0
+
+    def stored(self, df: DataFrame) -> DataFrame:
+        bounded_batches(self.spark)
+        self.tables += 1
+        path = f"{self.root}/{self.tables}"
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def cleared(self, df: DataFrame) -> DataFrame:
+        result = stored(df, self.label)
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        return result
+
+
 def text_runs(texts: pa.Array, most: int = STEP_CHARS) -> Iterator[list[str]]:
     """The texts of an Arrow array in order, nulls as empty, in lists of at most `most` characters, or one longer text:
     Python objects exist for one list at a time."""

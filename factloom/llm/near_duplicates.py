@@ -7,22 +7,32 @@ probability Jaccard of the weighted shingles, with equal weights the Jaccard of
 its next arrival is later than the latest register of its text, so that a long text costs about one arrival for each
 shingle, whatever the number of registers.
 
-Bands of five registers are bucket keys. Equal texts are one node. In each bucket, every node is first verified against
-the bucket's first node, whatever their sketches say, and verified links become classes. A bucket of three or more nodes
-that still holds several classes is then compared whole: its nodes are dealt into tiles of a bounded number of texts,
-each pair of tiles counts all common shingles at once by block products, and gives back the links that join different
-classes. So every pair that shares a bucket is either in one class already or verified; no list of all pairs of a bucket
-is made, and no bucket meets in one task. Verification is exact: Jaccard of the sets of shingles, 0.8 or more. With 28
-bands a pair at 0.8 shares no bucket in 1 of 70,000 cases, at 0.85 in 1 of 10 million.
+Bands of five registers are bucket keys. Equal texts are one node. Every pair of nodes that share a bucket is verified,
+or already in one class, or told apart by the triangle inequality; no estimate drops a pair:
+
+* In each bucket, all nodes are compared with its first node, the pivot. Links make classes. Buckets with the same nodes
+  count once.
+* What isn't linked to the pivot goes on as a smaller bucket with a pivot of its own, for a few rounds. Jaccard distance
+  is a metric: a node below 2 * 0.8 - 1 = 0.6 of the pivot can't reach 0.8 with any node that is linked to it. Nodes
+  between 0.6 and 0.8 are compared with those that are linked, unless their classes are one.
+* What is left after these rounds, many texts that share a passage but are not alike, is dealt into pairs of tiles of a
+  bounded number of nodes, and each pair of tiles counts all common shingles by block products.
+
+So a crowd of copies costs a row for each node and round; only a crowd of texts that are all unlike one another costs
+tiles, the square of their number over TILE. Contents travel as sets of 64-bit shingle hashes, made once for each node
+that meets another. Verification is exact: Jaccard of the sets, 0.8 or more. With 28 bands a pair at 0.8 shares no
+bucket in 1 of 70,000 cases, at 0.85 in 1 of 10 million.
 
 Defined results: a row with a null text is a class of its own; equal texts, empty ones too, are one class; texts without
 words are near-duplicates of equal texts only; texts of any length are sketched whole; repeated rows belong to one
 class; classes are connected components, named by their smallest id (null if all are null); an empty table gives an empty
-result. Other columns aren't read.
+result. Other columns aren't read; a column `_row` of the documents is kept like any other.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -30,16 +40,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import Remembered, mix64, stored, table, text_runs, words_of
+from factloom.llm.common import Remembered, Scratch, mix64, shards, table, text_runs, words_of
 
 SIZE, BANDS, ROWS, SIMILARITY = 5, 28, 5, 0.8
-#: Texts on one side of a tile, columns of one block product, and pairs that go to one task with one bucket's first text.
-TILE, BLOCK, FAN = 1024, 8192, 2000
+#: Rounds with a pivot, nodes on one side of a tile, rows of a task of tiles, and pairs in one place with one pivot.
+PIVOTS, TILE, DEALT, FAN = 3, 1024, 2048, 2000
+#: Entries of one block of an incidence matrix.
+BLOCK = 1 << 20
 _HASHES = Remembered(xxhash.xxh3_64_intdigest)
 
 
-def shingles(texts: list[str], size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, shingle hash, count), sorted: the distinct shingles of every text."""
+def shingle_stream(texts: list[str], size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, shingle hash) of every shingle in order, repeats too."""
     parts, lengths = [], np.zeros(len(texts), "i8")
     for i, text in enumerate(texts):
         words = words_of(text)
@@ -51,32 +63,44 @@ def shingles(texts: list[str], size: int = SIZE) -> tuple[np.ndarray, np.ndarray
     words = np.concatenate(parts) if parts else np.empty(0, "u8")
     count = len(words) - size + 1
     if count <= 0:
-        return np.empty(0, "i8"), np.empty(0, "u8"), np.empty(0, "i8")
+        return np.empty(0, "i8"), np.empty(0, "u8")
     hashed = np.zeros(count, "u8")
     for k in range(size):
         hashed = mix64(hashed * np.uint64(3) + words[k : k + count] + np.uint64(k))
     ends = np.cumsum(lengths)
     owner = np.repeat(np.arange(len(texts)), lengths)[:count]
     inside = np.arange(count) + size <= ends[owner]
-    owner, hashed = owner[inside], hashed[inside]
+    return owner[inside], hashed[inside]
+
+
+def shingles(texts: list[str], size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, shingle hash, count), sorted: the distinct shingles of every text."""
+    owner, hashed = shingle_stream(texts, size)
+    if not len(hashed):
+        return owner, hashed, np.empty(0, "i8")
     order = np.lexsort((hashed, owner))
     owner, hashed = owner[order], hashed[order]
-    new = np.flatnonzero(np.concatenate([[True], (hashed[1:] != hashed[:-1]) | (owner[1:] != owner[:-1])])) if len(hashed) else np.empty(0, "i8")
+    new = np.flatnonzero(np.concatenate([[True], (hashed[1:] != hashed[:-1]) | (owner[1:] != owner[:-1])]))
     return owner[new], hashed[new], np.diff(np.append(new, len(hashed)))
 
 
 def sketches(texts: list[str], registers: int, size: int = SIZE, weighted: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(registers of each text, whether the text has words): which shingle arrives first in each register. A shingle's
-    weight is 1 + ln(count), or 1."""
-    owner, hashed, counts = shingles(texts, size)
-    rate = 1 + np.log(counts) if weighted else np.ones(len(counts))
+    weight is 1 + ln(count), or 1; with equal weights repeats arrive together and need not be counted."""
+    if weighted:
+        owner, hashed, counts = shingles(texts, size)
+        rate = 1 + np.log(counts)
+    else:
+        owner, hashed = shingle_stream(texts, size)
+        rate = None
     first = np.full(len(texts) * registers, np.inf)
     who = np.zeros(len(texts) * registers, "u8")
     latest, time, live = np.full(len(texts), np.inf), np.zeros(len(hashed)), np.arange(len(hashed))
     arrival = 0
     while len(live):
         drawn = mix64(hashed[live] + np.uint64(arrival * 0x9E3779B97F4A7C15 % 2**64))
-        time[live] -= np.log(((drawn >> np.uint64(11)).astype("f8") + 0.5) / 2**53) / rate[live]
+        wait = -np.log(((drawn >> np.uint64(11)).astype("f8") + 0.5) / 2**53)
+        time[live] += wait if rate is None else wait / rate[live]
         early = time[live] < latest[owner[live]]
         live, drawn = live[early], drawn[early]
         at = owner[live] * registers + (mix64(drawn + np.uint64(0x51ED27)) % np.uint64(registers)).astype("i8")
@@ -104,47 +128,54 @@ def with_sketch(docs: DataFrame, text: str, bands: int, rows: int, size: int) ->
 
     @F.arrow_udf("array<bigint>")
     def sketch(texts: pa.Array) -> pa.Array:
-        keys = []
+        keys, sizes = [np.empty(0, "i8")], []
         for plain in text_runs(texts):
             who, worded = sketches(plain, bands * rows, size, weighted=False)
-            keys += [k if w else k[:0] for k, w in zip(bucket_keys(who, bands, rows), worded, strict=True)]
-        return pa.array(keys, pa.list_(pa.int64()))
+            keys.append(bucket_keys(who, bands, rows)[worded].ravel())
+            sizes.append(worded * bands)
+        ends = np.cumsum(np.concatenate([[0], *sizes]))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))
 
     return docs.withColumn("keys", sketch(F.col(text)))
 
 
-def jaccard_of(size: int):
-    @F.arrow_udf("double")
-    def jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
-        first, out, last, known = b.to_pylist(), [], None, None
-        for x, y in zip(a.to_pylist(), first, strict=True):
-            if y != last:
-                last, known = y, shingles([y], size)[1]
-            own = shingles([x], size)[1]
-            both = len(np.intersect1d(own, known, assume_unique=True))
-            out.append(both / max(1, len(own) + len(known) - both))
-        return pa.array(out, pa.float64())
+def hashes_of(size: int):
+    """A function from texts to their sets of shingle hashes, as sorted arrays."""
+
+    @F.arrow_udf("array<bigint>")
+    def hashes(texts: pa.Array) -> pa.Array:
+        sets, ends = [np.empty(0, "i8")], [np.zeros(1, "i8")]
+        for plain in text_runs(texts):
+            owner, hashed, _ = shingles(plain, size)
+            sets.append(hashed.view("i8"))
+            ends.append(ends[-1][-1] + np.cumsum(np.bincount(owner, minlength=len(plain))))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.array(np.concatenate(sets)))
 
-    return jaccard
+    return hashes
 
 
-def joining_links(texts: list[str], labels: list, side: np.ndarray, size: int, similarity: float) -> list[tuple[int, int]]:
-    """Pairs of texts with this similarity that join different labels, as few as connect what is connected. side: 0 or 1;
+def joining_links(sets: list[np.ndarray], labels: list, side: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of sets with this similarity that join different labels, as few as connect what is connected. side: 0 or 1;
     with both, only pairs across are wanted, else all."""
-    owner, hashed, _ = shingles(texts, size)
-    totals = np.bincount(owner, minlength=len(texts))
-    uniq, column, counts = np.unique(hashed, return_inverse=True, return_counts=True)
+    totals = np.array([len(s) for s in sets], "i8")
+    uniq, column, counts = np.unique(np.concatenate([np.empty(0, "i8"), *sets]), return_inverse=True, return_counts=True)
     shared = counts[column] > 1
-    owner, column = owner[shared], (np.cumsum(counts > 1) - 1)[column[shared]]
+    owner, column = np.repeat(np.arange(len(sets)), totals)[shared], (np.cumsum(counts > 1) - 1)[column[shared]]
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    rows, cols = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() and not side.all() else (np.arange(len(texts)),) * 2
+    rows, cols = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() and not side.all() else (np.arange(len(sets)),) * 2
+    place = np.zeros((2, len(sets)), "i8")  # of each set among the rows and among the columns, from 1; 0 for none
+    place[0, rows], place[1, cols] = np.arange(1, len(rows) + 1), np.arange(1, len(cols) + 1)
     common = np.zeros((len(rows), len(cols)), "f4")
-    for at in range(0, int(column[-1]) + 1 if len(column) else 0, BLOCK):
-        a, b = np.searchsorted(column, [at, at + BLOCK])
-        held = np.zeros((len(texts), BLOCK), "f4")
-        held[owner[a:b], column[a:b] - at] = 1
-        common += held[rows] @ held[cols].T
+    width = max(16, BLOCK // max(1, len(sets)))
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, [at, at + width])
+        held = []
+        for k, n in ((0, len(rows)), (1, len(cols))):
+            part = np.zeros((n + 1, width), "f4")
+            part[place[k, owner[a:b]], column[a:b] - at] = 1
+            held.append(part[1:])
+        common += held[0] @ held[1].T
     enough = common >= (similarity - 1e-9) * np.maximum(totals[rows][:, None] + totals[cols][None, :] - common, 1)
     parent: dict = {}
 
@@ -155,98 +186,151 @@ def joining_links(texts: list[str], labels: list, side: np.ndarray, size: int, s
         return x
 
     links = []
-    for i, j in np.argwhere(enough).tolist():
-        p, q = int(rows[i]), int(cols[j])
-        a, b = root(labels[p]), root(labels[q])
-        if p != q and a != b:
-            parent[a] = b
-            links.append((p, q))
+    for i in range(len(rows)):
+        for j in np.flatnonzero(enough[i]).tolist():
+            p, q = int(rows[i]), int(cols[j])
+            a, b = root(labels[p]), root(labels[q])
+            if p != q and a != b:
+                parent[a] = b
+                links.append((p, q))
     return links
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, label): the smallest node of each connected component of (a, b), by taking over the smallest label among
     the neighbours and then the label's own label, until nothing changes."""
-    both = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    both = scratch.stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    labels = scratch.stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
         around = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         taken = labels.join(around, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jumped = taken.join(labels.select(F.col("node").alias("label"), F.col("label").alias("next")), "label", "left")
-        new = stored(jumped.select("node", "old", F.coalesce("next", "label").alias("label")), "labels")
+        new = scratch.stored(jumped.select("node", "old", F.coalesce("next", "label").alias("label")))
         moved = new.where("label <> old").limit(1).count()
         labels = new.select("node", "label")
         if not moved:
             return labels
 
 
-def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", *, size: int = SIZE, bands: int = BANDS, rows: int = ROWS, similarity: float = SIMILARITY, row: str | None = None) -> DataFrame:
-    """(row, id, first_row, first_id) of every row of docs: row numbers those of the column row, or numbers given here;
-    first_row and first_id those of the class's first row by id (nulls last) and row number."""
-    numbered = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), (F.col(row) if row else F.monotonically_increasing_id()).alias("row")).withColumn("node", F.unhex(F.md5("text")))
-    rows_df = stored(with_sketch(numbered, "text", bands, rows, size).drop("text"), "sketches")
-    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "row")
-    nodes = stored(
-        rows_df.where("node is not null").groupBy("node").agg(F.min(order).alias("first"), F.first("keys").alias("keys")), "nodes"
-    )
-    texts = numbered.select(F.col("node").alias("_node"), "text", F.col("id").alias("_id")).where("_node is not null")
-
-    def text_of(wanted: DataFrame) -> DataFrame:
-        """(node, text) of the wanted (node, id): of equal texts one row alone travels."""
-        met = texts.join(wanted.select("node", "id"), (F.col("_node") == F.col("node")) & F.col("_id").eqNullSafe(F.col("id")))
-        return met.select("node", "text").dropDuplicates(["node"])
-
-    buckets = stored(nodes.select("node", F.explode("keys").alias("bucket")), "buckets")
-    leaders = buckets.groupBy("bucket").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    met = stored(buckets.join(leaders, "bucket"), "met")
-    pairs = stored(met.where("node <> lead").select("node", "lead").distinct(), "pairs")
-    fans = pairs.groupBy("lead").agg(F.ceil(F.count("*") / FAN).cast("int").alias("fan"))
-    firsts = nodes.select("node", F.col("first.id").alias("id"))
-    wanted = stored(text_of(firsts.join(pairs.select("node").union(pairs.select("lead")).distinct(), "node")), "texts")
-    lead_texts = wanted.withColumnsRenamed({"node": "lead", "text": "lead_text"}).join(fans, "lead").select("lead", "lead_text", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("part"))
-    placed = pairs.join(fans, "lead").select("node", "lead", F.pmod(F.xxhash64("node"), F.col("fan")).cast("int").alias("part"))
-    verified = placed.join(wanted, "node").join(lead_texts, ["lead", "part"]).sortWithinPartitions("lead").where(jaccard_of(size)("text", "lead_text") >= similarity)
-    links = stored(verified.select(F.col("node").alias("a"), F.col("lead").alias("b")), "verified")
-    labels = components(links)
-
-    crowded = met.where("n > 2").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-    crowded = stored(crowded, "crowded")
-    # of buckets with the same nodes one is enough
-    mixed = (
-        crowded.groupBy("bucket")
-        .agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("h"), F.bit_xor(F.xxhash64("node", F.lit(7))).alias("x"))
-        .where("low <> high")
-        .groupBy("n", "h", "x")
-        .agg(F.min("bucket").alias("bucket"))
-        .select("bucket", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
-    )
-    own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
-    tiles = crowded.join(mixed, "bucket").withColumn("tile", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tiles = stored(tiles.select("bucket", "node", "label", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), F.when(F.col("tile") <= F.col("other"), 0).otherwise(1).alias("side")), "tiles")
-    filled = tiles.join(text_of(firsts.join(tiles.select("node").distinct(), "node")), "node")
+def similarities(pairs: DataFrame, contents: DataFrame) -> DataFrame:
+    """(node, pivot, sim) of the pairs (node, pivot), by the sets of contents (node, hashes). A pivot with more than FAN
+    pairs stands in several places."""
+    hot = pairs.groupBy("pivot").count().where(F.col("count") > FAN)
+    hot = hot.select("pivot", F.ceil(F.col("count") / FAN).cast("int").alias("fan"))
+    placed = pairs.join(hot, "pivot", "left").withColumn("part", F.pmod(F.xxhash64("node"), F.coalesce("fan", F.lit(1))).cast("int")).drop("fan")
+    pivots = pairs.groupBy("pivot").count().withColumn("part", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("count") / FAN) - 1).cast("int"))))
+    pivots = pivots.join(contents.select(F.col("node").alias("pivot"), F.col("hashes").alias("pivot_hashes")), "pivot").drop("count")
+    met = placed.join(contents, "node").join(pivots, ["pivot", "part"])
+    common = met.select("node", "pivot", F.size("hashes").alias("n"), F.size("pivot_hashes").alias("m"), F.size(F.array_intersect("hashes", "pivot_hashes")).alias("both"))
+    return common.select("node", "pivot", (F.col("both") / F.greatest(F.lit(1), F.col("n") + F.col("m") - F.col("both"))).alias("sim"))
+
+
+def crowds(members: DataFrame, where: str = "n > 1") -> DataFrame:
+    """(bucket, pivot, n) of the buckets of members (bucket, node, label): of buckets with the same nodes one alone."""
+    sums = members.groupBy("bucket").agg(
+        F.count("*").alias("n"), F.min("node").alias("pivot"), F.min("label").alias("low"), F.max("label").alias("high"),
+        F.bit_xor(F.xxhash64("node")).alias("h"), F.bit_xor(F.xxhash64("node", F.lit(7))).alias("x"),
+    )
+    return sums.where(where).groupBy("n", "h", "x", "pivot").agg(F.min("bucket").alias("bucket")).select("bucket", "pivot", "n")
+
+
+def compare_tiles(tiles: DataFrame, contents: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links that join different labels, from tiles (bucket, round, i, j, side, node, label). Tiles are dealt to groups of
+    about DEALT rows; a tile has 2 * TILE at most."""
+    groups = shards(tiles.count(), DEALT)
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("node", kind="stable")
-        nodes_, found = part["node"].tolist(), joining_links(part["text"].tolist(), part["label"].tolist(), part["side"].to_numpy(), size, similarity)
-        return pd.DataFrame({"a": [nodes_[p] for p, _ in found], "b": [nodes_[q] for _, q in found]}, dtype=object)
+        found = []
+        for _, tile in part.sort_values("node", kind="stable").groupby(["bucket", "round", "i", "j"], sort=False):
+            nodes, labels = tile["node"].to_numpy(), tile["label"].tolist()
+            if len(set(labels)) > 1:
+                found += [(nodes[p], nodes[q]) for p, q in joining_links(list(tile["hashes"]), labels, tile["side"].to_numpy(), similarity)]
+        return pd.DataFrame({"a": [f[0] for f in found], "b": [f[1] for f in found]}, dtype="i8")
+
+    dealt = tiles.withColumn("group", F.pmod(F.xxhash64("bucket", "round", "i", "j"), F.lit(groups)))
+    return dealt.join(contents, "node").groupBy("group").applyInPandas(compare, "a long, b long")
 
-    more = filled.groupBy("bucket", "i", "j").applyInPandas(compare, "a binary, b binary")
-    classes = components(links.union(labels.select("node", "label")).union(more))
 
-    named = nodes.join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
+def near_duplicate_classes(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", *, size: int = SIZE, bands: int = BANDS, rows: int = ROWS, similarity: float = SIMILARITY, row: str | None = None
+) -> DataFrame:
+    """(row, id, first_row, first_id) of every row of docs: row numbers those of the column row, or numbers given here;
+    first_row and first_id those of the class's first row by id (nulls last) and row number."""
+    scratch = Scratch(docs.sparkSession, "near-duplicates")
+    numbered = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), (F.col(row) if row else F.monotonically_increasing_id()).alias("row"))
+    numbered = numbered.withColumn("md5", F.unhex(F.md5("text")))
+    rows_df = scratch.stored(with_sketch(numbered, "text", bands, rows, size).drop("text"))
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "row")
+    nodes = rows_df.where("md5 is not null").groupBy("md5").agg(F.min(order).alias("first"), F.first("keys").alias("keys"))
+    nodes = scratch.stored(nodes.withColumn("node", F.monotonically_increasing_id()))
+
+    buckets = nodes.select("node", F.explode("keys").alias("bucket"))
+    members = buckets.join(crowds(buckets.withColumn("label", F.col("node"))), "bucket")
+    members = scratch.stored(members.select("bucket", "node", "pivot").where("node <> pivot"))
+    met = scratch.stored(members.select("node").union(members.select("pivot")).distinct())
+    # one row of each node that meets another: equal texts are told apart by id, so that a text with many rows is no hot key
+    wanted = nodes.join(met, "node").select("node", F.col("md5").alias("_md5"), F.col("first.id").alias("_id"))
+    texts = numbered.select("md5", "id", "text").where("md5 is not null").join(wanted, (F.col("md5") == F.col("_md5")) & F.col("id").eqNullSafe(F.col("_id")))
+    contents = scratch.stored(texts.dropDuplicates(["md5", "id"]).select("node", hashes_of(size)("text").alias("hashes")))
+
+    least, reach = similarity - 1e-9, 2 * similarity - 1 - 1e-9
+    links, tiles = [], []
+    labels = None
+    for pivots in range(PIVOTS):
+        sims = scratch.stored(similarities(members.select("node", "pivot").distinct(), contents))
+        links.append(sims.where(F.col("sim") >= least).select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+        labels = components(reduce(DataFrame.union, links if labels is None else [links[-1], labels.toDF("a", "b")]), scratch)
+        of = labels.withColumnRenamed("label", "of")
+        left = members.join(sims.where(F.col("sim") < least), ["node", "pivot"]).join(of, "node", "left").withColumn("label", F.coalesce("of", "node")).drop("of")
+        left = left.join(of.withColumnRenamed("node", "pivot"), "pivot", "left").withColumn("pivot_label", F.coalesce("of", "pivot")).drop("of")
+        left = scratch.stored(left)
+        between = left.where((F.col("sim") >= reach) & (F.col("label") != F.col("pivot_label")))
+        tasks = between.groupBy("bucket", "pivot", "pivot_label").agg(F.ceil(F.count("*") / TILE).cast("int").alias("t"))
+        joined = members.join(tasks, ["bucket", "pivot"]).join(sims.where(F.col("sim") >= least), ["node", "pivot"])
+        sizes = joined.groupBy("bucket").agg(F.ceil(F.count("*") / TILE).cast("int").alias("u"))
+        own = F.xxhash64("node")
+        task = ["bucket", F.lit(pivots).alias("round")]
+        tiles += [
+            between.join(tasks.select("bucket", "t"), "bucket").join(sizes, "bucket").select(
+                *task, F.pmod(own, "t").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("u") - 1)).alias("j"), F.lit(0).alias("side"), "node", "label"
+            ),
+            joined.join(sizes, "bucket").select(
+                *task, F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("i"), F.pmod(own, "u").cast("int").alias("j"), F.lit(1).alias("side"), "node", F.col("pivot_label").alias("label")
+            ),
+        ]
+        rest = scratch.stored(left.drop("pivot").join(crowds(left, "n > 1 and low <> high"), "bucket").select("bucket", "node", "pivot", "n", "label"))
+        members = rest.where("node <> pivot").select("bucket", "node", "pivot")
+        if not rest.limit(1).count():
+            break
+    own, task = F.pmod(F.xxhash64("node"), F.col("t")).cast("int"), ["bucket", F.lit(PIVOTS).alias("round")]
+    if members.limit(1).count():
+        dealt = rest.withColumn("t", F.ceil(F.col("n") / TILE).cast("int")).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
+        side = F.when(F.col("own") <= F.col("other"), 0).otherwise(1)
+        tiles.append(dealt.select(*task, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "node", "label"))
+    tiles = scratch.stored(reduce(DataFrame.union, tiles))
+    if tiles.limit(1).count():
+        more = scratch.stored(compare_tiles(tiles, contents, similarity))
+        labels = components(more.union(labels.toDF("a", "b")), scratch)
+
+    named = nodes.join(labels, "node", "left").select("md5", "first", F.coalesce("label", "node").alias("label"))
     firsts_of = named.groupBy("label").agg(F.min("first").alias("top"))
-    by_node = named.select("node", "label").join(firsts_of, "label").select("node", "top")
-    joined = rows_df.select("row", "id", "node").join(by_node, "node", "left")
-    return joined.select("row", "id", F.coalesce("top.row", "row").alias("first_row"), F.when(F.col("top").isNull(), F.col("id")).otherwise(F.col("top.id")).alias("first_id"))
+    by_text = named.select("md5", "label").join(firsts_of, "label").select("md5", "top")
+    joined = rows_df.select("row", "id", "md5").join(by_text, "md5", "left")
+    return scratch.cleared(
+        joined.select("row", "id", F.coalesce("top.row", "row").alias("first_row"), F.when(F.col("top").isNull(), F.col("id")).otherwise(F.col("top.id")).alias("first_id"))
+    )
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the first row of each class alone. Row numbers are written once with the rows: numbers of two scans
     differ where the splits do."""
-    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    classes = near_duplicate_classes(rows, key, text, row="_row")
-    kept = classes.where(F.col("row") == F.col("first_row")).select(F.col("row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").drop("_row")
+    scratch, number = Scratch(docs.sparkSession, "rows"), "_row"
+    while number in docs.columns:
+        number += "_"
+    rows = scratch.stored(docs.withColumn(number, F.monotonically_increasing_id()))
+    classes = near_duplicate_classes(rows, key, text, row=number)
+    kept = scratch.stored(classes.where(F.col("row") == F.col("first_row")).select(F.col("row").alias(number)))
+    return rows.join(kept, number, "left_semi").drop(number)
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from factloom.llm import near_duplicates as n
 
@@ -87,9 +88,12 @@ def test_classes_equal_brute_force(spark):
     assert {r.id: r.first_id for r in got if r.id is not None} == {rows[i][0]: c for i, c in want.items() if rows[i][0] is not None}
 
 
-def test_crowded_bucket_in_tiles(spark, monkeypatch):
+@pytest.mark.parametrize("pivots", [1, 3])
+def test_crowded_bucket_in_tiles(spark, monkeypatch, pivots):
     """A crowd of texts around one another, dealt into tiles of a few."""
     monkeypatch.setattr(n, "TILE", 4)
+    monkeypatch.setattr(n, "FAN", 5)
+    monkeypatch.setattr(n, "PIVOTS", pivots)
     rng = random.Random(2)
     base = [f"b{i}" for i in range(150)]
     rows = []
@@ -119,7 +123,9 @@ def test_joining_links_connect_what_is_connected():
     for _ in range(5):
         base = [f"v{rng.randrange(900)}" for _ in range(40)]
         texts += [" ".join(base[: 40 - k]) for k in range(0, 9, 2)]
-    links = n.joining_links(texts, list(range(len(texts))), np.zeros(len(texts), "i8"), 5, 0.8)
+    owner, hashed, _ = n.shingles(texts)
+    sets = [hashed[owner == i].view("i8") for i in range(len(texts))]
+    links = n.joining_links(sets, list(range(len(texts))), np.zeros(len(texts), "i8"), 0.8)
     parent = list(range(len(texts)))
 
     def root(x):
