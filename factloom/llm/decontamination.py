@@ -8,8 +8,8 @@ transform of the stretches in a wavelet matrix, and the text positions of every
 first one. All phrases are searched backwards together; each occurrence is traced to a kept position; the occurrences
 of a document are merged into spans.
 
-The phrases are the distinct windows of the benchmark's items. They are sent to the tasks in blocks of a fixed number,
-with one pass over the documents for each block, so that what is broadcast has a bound.
+The phrases are the distinct windows of the benchmark's items. Driver and tasks hold one block of a fixed number of
+them at a time: each block has a pass over the documents of its own, whose hits are stored before the next one begins.
 
 Defined results: null and empty texts have no words and no hits; texts of any length are one shard at least; repeated
 documents each get their own result; repeated items count once each by their id; an item without words matches nothing;
@@ -28,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import table, text_runs, words_of
+from factloom.llm.common import Scratch, shards, table, text_runs, words_of
 
 #: Words of a window, phrases that one pass searches for, and text positions between two kept ones.
-WINDOW, BLOCK, SAMPLED = 10, 200_000, 16
+WINDOW, BLOCK, SAMPLED = 10, 50_000, 16
 SHARD_CHARS = 4_000_000
 WORD = re.compile(r"[0-9A-Za-z\u0080-\U0010ffff]+")
 FOUND = "struct<n_words:bigint,spans:array<struct<start:int,end:int>>,items:array<string>>"
@@ -200,36 +200,46 @@ def finder(shared):
     return find
 
 
+def broadcast_phrases(spark: SparkSession, windows: DataFrame):
+    """The phrases of at most a block's windows, in the memory of the driver and of each worker."""
+    read = [(tuple(p.encode().split(b" ")), i) for p, i in windows.select("phrase", "items").toLocalIterator()]
+    return spark.sparkContext.broadcast(Phrases(sorted(read)))
+
+
 def find_phrases(docs: DataFrame, windows: DataFrame, text: str = "text", out: str = "found", block: int = BLOCK) -> DataFrame:
     """docs with a column (n_words, spans of words, items). windows: (phrase, items), see windows_of."""
     spark = docs.sparkSession
-    total = windows.count()
-    blocks = max(1, -(-total // block))
-    parts = []
-    for k in range(blocks):
-        some = windows.where(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == k) if blocks > 1 else windows
-        read = [(tuple(p.encode().split(b" ")), i) for p, i in some.toLocalIterator()]
-        shared = spark.sparkContext.broadcast(Phrases(sorted(read)))
-
-        parts.append(finder(shared)(F.col(text)))
-    if len(parts) == 1:
-        return docs.withColumn(out, parts[0])
-    names = [f"_{out}_{k}" for k in range(blocks)]
-    held = docs.withColumns(dict(zip(names, parts, strict=True)))
-    spans = F.array_sort(F.flatten(F.array(*(F.col(n)["spans"] for n in names))))
-    none = F.array().cast("array<struct<start:int,end:int>>")
+    blocks = shards(windows.count(), block)
+    if blocks == 1:
+        return docs.withColumn(out, finder(broadcast_phrases(spark, windows))(F.col(text)))
+    scratch, number = Scratch(spark, "phrases"), "_number"
+    while number in docs.columns:
+        number += "_"
+    rows = scratch.stored(docs.withColumn(number, F.monotonically_increasing_id()))
+    held = windows.withColumn("block", F.pmod(F.xxhash64("phrase"), F.lit(blocks)))
+    hits, counts = [], None
+    for k in range(blocks):  # one pass after the other; a block's phrases leave the executors after theirs
+        shared = broadcast_phrases(spark, held.where(F.col("block") == k))
+        found = rows.select(number, finder(shared)(F.col(text)).alias("f")).select(number, "f.*")
+        found = scratch.stored(found if k == 0 else found.where(F.size("spans") > 0))
+        counts = found.select(number, "n_words") if k == 0 else counts
+        hits.append(found.where(F.size("spans") > 0).select(number, "spans", "items"))
+        shared.destroy()
 
     def merge(done, s):
-        top = F.element_at(done, -1)
+        top = F.try_element_at(done, F.lit(-1))
         wider = F.struct(top["start"].alias("start"), F.greatest(top["end"], s["end"]).alias("end"))
-        return F.when((F.size(done) > 0) & (s["start"] <= F.try_element_at(done, F.lit(-1))["end"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(wider))).otherwise(F.concat(done, F.array(s)))
+        return F.when(s["start"] <= top["end"], F.concat(F.slice(done, 1, F.size(done) - 1), F.array(wider))).otherwise(F.concat(done, F.array(s)))
 
-    merged = F.struct(
-        F.col(names[0])["n_words"].alias("n_words"),
-        F.aggregate(spans, none, merge).alias("spans"),
-        F.array_sort(reduce(F.array_union, (F.col(n)["items"] for n in names))).alias("items"),
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    together = reduce(DataFrame.union, hits).groupBy(number).agg(  # at most a row for each block
+        F.aggregate(F.array_sort(F.flatten(F.collect_list("spans"))), none, merge).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    )
+    merged = counts.join(together, number, "left").select(
+        number, F.struct("n_words", F.coalesce("spans", none).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items")).alias(out)
     )
-    return held.withColumn(out, merged).drop(*names)
+    return rows.drop(out).join(merged, number).drop(number)
 
 
 def without_spans(text: str, spans: list) -> str:
@@ -249,10 +259,13 @@ def remove_phrases(docs: DataFrame, windows: DataFrame, text: str = "text") -> D
         pairs = zip(texts.to_pylist(), spans.to_pylist(), strict=True)
         return pa.array((without_spans(t, [(s["start"], s["end"]) for s in x]) if x else t for t, x in pairs), pa.string())
 
-    found = find_phrases(docs, windows, text, "_found")
-    lost = F.aggregate("_found.spans", F.lit(0), lambda n, s: n + s["end"] - s["start"])
-    kept = found.where((lost == 0) | (lost < F.col("_found.n_words")))
-    return kept.withColumn(text, cut(F.col(text), F.col("_found.spans"))).drop("_found")
+    out = "_found"
+    while out in docs.columns:
+        out += "_"
+    found = find_phrases(docs, windows, text, out)
+    lost = F.aggregate(f"{out}.spans", F.lit(0), lambda n, s: n + s["end"] - s["start"])
+    kept = found.where((lost == 0) | (lost < F.col(f"{out}.n_words")))
+    return kept.withColumn(text, cut(F.col(text), F.col(f"{out}.spans"))).drop(out)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
