@@ -13,17 +13,17 @@ from pyspark.sql import functions as F
 
 #: Characters of text that one step inside a task holds as Python objects; a longer text is a step of its own.
 STEP_CHARS = 1_000_000
-#: Bytes of an Arrow batch on its way to Python, and of a row group that a writing task holds.
-BATCH_BYTES, ROW_GROUP = 4_000_000, 16_000_000
-_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of an Arrow batch on its way to Python, rows of a batch that a scan holds, and bytes of a row group that a
+#: writing task holds: texts differ much in length.
+BATCH_BYTES, SCAN_ROWS, ROW_GROUP = 4_000_000, 512, 16_000_000
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bounds Arrow batches by bytes, as texts differ much in length; a smaller bound of the session's own stays. One
-    longer text is a batch of its own."""
-    held = re.fullmatch(r"(\d+)b?", spark.conf.get(_BATCH))
-    if held and int(held[1]) > BATCH_BYTES:
-        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
+    """Bounds the session's batches; smaller bounds of its own stay. A longer text is a batch of its own."""
+    for name, most, unit in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES, "b"), ("spark.sql.parquet.columnarReaderBatchSize", SCAN_ROWS, "")):
+        held = re.fullmatch(r"(\d+)b?", spark.conf.get(name))
+        if held and int(held[1]) > most:
+            spark.conf.set(name, f"{most}{unit}")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

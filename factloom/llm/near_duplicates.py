@@ -234,6 +234,30 @@ def crowds(members: DataFrame, where: str = "n > 1") -> DataFrame:
     return sums.where(where).groupBy("n", "h", "x", "pivot").agg(F.min("bucket").alias("bucket")).select("bucket", "pivot", "n")
 
 
+def tiles_between(between: DataFrame, members: DataFrame, linked: DataFrame, number: int) -> DataFrame:
+    """Tiles of between (bucket, pivot, pivot_label, node, label), on side 0, and the nodes of their buckets that are linked
+    to the pivot, on side 1."""
+    tasks = between.groupBy("bucket", "pivot", "pivot_label").agg(F.ceil(F.count("*") / TILE).cast("int").alias("t"))
+    joined = members.join(tasks, ["bucket", "pivot"]).join(linked, ["node", "pivot"])
+    sizes = joined.groupBy("bucket").agg(F.ceil(F.count("*") / TILE).cast("int").alias("u"))
+
+    def side(part: DataFrame, own: str, own_tile: str, other: str, other_tile: str, which: int, label: str) -> DataFrame:
+        named = part.withColumn(own_tile, F.pmod(F.xxhash64("node"), own).cast("int")).withColumn(other_tile, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        return named.select("bucket", F.lit(number).alias("round"), "i", "j", F.lit(which).alias("side"), "node", F.col(label).alias("label"))
+
+    first = between.join(tasks.select("bucket", "t"), "bucket").join(sizes, "bucket")
+    return side(first, "t", "i", "u", "j", 0, "label").union(side(joined.join(sizes, "bucket"), "u", "j", "t", "i", 1, "pivot_label"))
+
+
+def tiles_within(rest: DataFrame) -> DataFrame:
+    """Tiles of rest (bucket, n, node, label): every node with every other one of its bucket."""
+    own = F.pmod(F.xxhash64("node"), F.col("t")).cast("int")
+    dealt = rest.withColumn("t", F.ceil(F.col("n") / TILE).cast("int")).withColumn("own", own)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
+    side = F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side")
+    return dealt.select("bucket", F.lit(PIVOTS).alias("round"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side, "node", "label")
+
+
 def compare_tiles(tiles: DataFrame, contents: DataFrame, similarity: float) -> DataFrame:
     """(a, b): links that join different labels, from tiles (bucket, round, i, j, side, node, label). Tiles are dealt to groups of
     about DEALT rows; a tile has 2 * TILE at most."""
@@ -285,31 +309,16 @@ def near_duplicate_classes(
         left = left.join(of.withColumnRenamed("node", "pivot"), "pivot", "left").withColumn("pivot_label", F.coalesce("of", "pivot")).drop("of")
         left = scratch.stored(left)
         between = left.where((F.col("sim") >= reach) & (F.col("label") != F.col("pivot_label")))
-        tasks = between.groupBy("bucket", "pivot", "pivot_label").agg(F.ceil(F.count("*") / TILE).cast("int").alias("t"))
-        joined = members.join(tasks, ["bucket", "pivot"]).join(sims.where(F.col("sim") >= least), ["node", "pivot"])
-        sizes = joined.groupBy("bucket").agg(F.ceil(F.count("*") / TILE).cast("int").alias("u"))
-        own = F.xxhash64("node")
-        task = ["bucket", F.lit(pivots).alias("round")]
-        tiles += [
-            between.join(tasks.select("bucket", "t"), "bucket").join(sizes, "bucket").select(
-                *task, F.pmod(own, "t").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("u") - 1)).alias("j"), F.lit(0).alias("side"), "node", "label"
-            ),
-            joined.join(sizes, "bucket").select(
-                *task, F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("i"), F.pmod(own, "u").cast("int").alias("j"), F.lit(1).alias("side"), "node", F.col("pivot_label").alias("label")
-            ),
-        ]
+        if between.limit(1).count():
+            tiles.append(scratch.stored(tiles_between(between, members, sims.where(F.col("sim") >= least), pivots)))
         rest = scratch.stored(left.drop("pivot").join(crowds(left, "n > 1 and low <> high"), "bucket").select("bucket", "node", "pivot", "n", "label"))
         members = rest.where("node <> pivot").select("bucket", "node", "pivot")
         if not rest.limit(1).count():
             break
-    own, task = F.pmod(F.xxhash64("node"), F.col("t")).cast("int"), ["bucket", F.lit(PIVOTS).alias("round")]
     if members.limit(1).count():
-        dealt = rest.withColumn("t", F.ceil(F.col("n") / TILE).cast("int")).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
-        side = F.when(F.col("own") <= F.col("other"), 0).otherwise(1)
-        tiles.append(dealt.select(*task, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "node", "label"))
-    tiles = scratch.stored(reduce(DataFrame.union, tiles))
-    if tiles.limit(1).count():
-        more = scratch.stored(compare_tiles(tiles, contents, similarity))
+        tiles.append(scratch.stored(tiles_within(rest)))
+    if tiles:
+        more = scratch.stored(compare_tiles(reduce(DataFrame.union, tiles), contents, similarity))
         labels = components(more.union(labels.toDF("a", "b")), scratch)
 
     named = nodes.join(labels, "node", "left").select("md5", "first", F.coalesce("label", "node").alias("label"))
