@@ -60,7 +60,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.label, self.root = spark, label, scratch_path(spark, label)
-        self.tables = 0
+        self.tables, self.names = 0, []
 
     def stored(self, df: DataFrame) -> DataFrame:
         bounded_batches(self.spark)
@@ -69,8 +69,20 @@ class Scratch:
         df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def bucketed(self, df: DataFrame, key: str, buckets: int) -> DataFrame:
+        """df stored in buckets by key, so that joins on it move the other side alone; a table of the session's catalogue
+        until cleared()."""
+        bounded_batches(self.spark)
+        name, buckets = f"factloom_{uuid.uuid4().hex}", min(buckets, 20_000)
+        rows = df.repartition(buckets, key).write.option("parquet.block.size", ROW_GROUP).option("path", f"{self.root}/{name}")
+        rows.format("parquet").bucketBy(buckets, key).saveAsTable(name)
+        self.names.append(name)
+        return self.spark.table(name)
+
     def cleared(self, df: DataFrame) -> DataFrame:
         result = stored(df, self.label)
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE {name}")
         at = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
         return result

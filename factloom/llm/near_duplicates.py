@@ -12,15 +12,15 @@ or already in one class, or told apart by the triangle inequality; no estimate d
 
 * In each bucket, all nodes are compared with its first node, the pivot. Links make classes. Buckets with the same nodes
   count once.
-* What isn't linked to the pivot goes on as a smaller bucket with a pivot of its own, for a few rounds. Jaccard distance
-  is a metric: a node below 2 * 0.8 - 1 = 0.6 of the pivot can't reach 0.8 with any node that is linked to it. Nodes
+* What isn't linked to the pivot is left. If that is more than a tile of nodes, it goes on as a bucket with a pivot of its
+  own, for a few rounds. Jaccard distance is a metric: a node below 2 * 0.8 - 1 = 0.6 of the pivot can't reach 0.8 with any node that is linked to it. Nodes
   between 0.6 and 0.8 are compared with those that are linked, unless their classes are one.
 * What is left after these rounds, many texts that share a passage but are not alike, is dealt into pairs of tiles of a
   bounded number of nodes, and each pair of tiles counts all common shingles by block products.
 
 So a crowd of copies costs a row for each node and round; only a crowd of texts that are all unlike one another costs
-tiles, the square of their number over TILE. Contents travel as sets of 64-bit shingle hashes, made once for each node
-that meets another. Verification is exact: Jaccard of the sets, 0.8 or more. With 28 bands a pair at 0.8 shares no
+tiles, the square of their number over TILE. Contents are sets of 64-bit shingle hashes, made once for each node that
+meets another, in a table bucketed by node: a round moves the pairs to them, and the sets of the pairs' nodes once. Verification is exact: Jaccard of the sets, 0.8 or more. With 28 bands a pair at 0.8 shares no
 bucket in 1 of 70,000 cases, at 0.85 in 1 of 10 million.
 
 Defined results: a row with a null text is a class of its own; equal texts, empty ones too, are one class; texts without
@@ -43,8 +43,9 @@ from pyspark.sql import functions as F
 from factloom.llm.common import Remembered, Scratch, mix64, shards, table, text_runs, words_of
 
 SIZE, BANDS, ROWS, SIMILARITY = 5, 28, 5, 0.8
-#: Rounds with a pivot, nodes on one side of a tile, rows of a task of tiles, and pairs in one place with one pivot.
-PIVOTS, TILE, DEALT, FAN = 3, 1024, 2048, 2000
+#: Rounds with a pivot, nodes on one side of a tile, rows of a task of tiles, pairs in one place with one pivot, and nodes
+#: in one bucket of the table of contents.
+PIVOTS, TILE, DEALT, FAN, BUCKETED = 3, 1024, 2048, 2000, 4000
 #: Entries of one block of an incidence matrix.
 BLOCK = 1 << 20
 _HASHES = Remembered(xxhash.xxh3_64_intdigest)
@@ -249,13 +250,13 @@ def tiles_between(between: DataFrame, members: DataFrame, linked: DataFrame, num
     return side(first, "t", "i", "u", "j", 0, "label").union(side(joined.join(sizes, "bucket"), "u", "j", "t", "i", 1, "pivot_label"))
 
 
-def tiles_within(rest: DataFrame) -> DataFrame:
+def tiles_within(rest: DataFrame, number: int) -> DataFrame:
     """Tiles of rest (bucket, n, node, label): every node with every other one of its bucket."""
     own = F.pmod(F.xxhash64("node"), F.col("t")).cast("int")
     dealt = rest.withColumn("t", F.ceil(F.col("n") / TILE).cast("int")).withColumn("own", own)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
     side = F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side")
-    return dealt.select("bucket", F.lit(PIVOTS).alias("round"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side, "node", "label")
+    return dealt.select("bucket", F.lit(number).alias("round"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side, "node", "label")
 
 
 def compare_tiles(tiles: DataFrame, contents: DataFrame, similarity: float) -> DataFrame:
@@ -294,8 +295,8 @@ def near_duplicate_classes(
     met = scratch.stored(members.select("node").union(members.select("pivot")).distinct())
     # one row of each node that meets another: equal texts are told apart by id, so that a text with many rows is no hot key
     wanted = nodes.join(met, "node").select("node", F.col("md5").alias("_md5"), F.col("first.id").alias("_id"))
-    texts = numbered.select("md5", "id", "text").where("md5 is not null").join(wanted, (F.col("md5") == F.col("_md5")) & F.col("id").eqNullSafe(F.col("_id")))
-    contents = scratch.stored(texts.dropDuplicates(["md5", "id"]).select("node", hashes_of(size)("text").alias("hashes")))
+    texts = numbered.select("md5", "id", "text").where("md5 is not null").hint("merge").join(wanted, (F.col("md5") == F.col("_md5")) & F.col("id").eqNullSafe(F.col("_id")))
+    contents = scratch.bucketed(texts.dropDuplicates(["md5", "id"]).select("node", hashes_of(size)("text").alias("hashes")), "node", shards(met.count(), BUCKETED, 12))
 
     least, reach = similarity - 1e-9, 2 * similarity - 1 - 1e-9
     links, tiles = [], []
@@ -310,13 +311,15 @@ def near_duplicate_classes(
         left = scratch.stored(left)
         between = left.where((F.col("sim") >= reach) & (F.col("label") != F.col("pivot_label")))
         if between.limit(1).count():
-            tiles.append(scratch.stored(tiles_between(between, members, sims.where(F.col("sim") >= least), pivots)))
+            tiles.append(scratch.stored(tiles_between(between, members, sims.where(F.col("sim") >= least), 2 * pivots)))
         rest = scratch.stored(left.drop("pivot").join(crowds(left, "n > 1 and low <> high"), "bucket").select("bucket", "node", "pivot", "n", "label"))
-        members = rest.where("node <> pivot").select("bucket", "node", "pivot")
-        if not rest.limit(1).count():
+        large = F.col("n") > (TILE if pivots + 1 < PIVOTS else 2**62)
+        n_small, n_large = rest.agg(F.count_if(~large), F.count_if(large)).first()
+        if n_small:
+            tiles.append(scratch.stored(tiles_within(rest.where(~large), 2 * pivots + 1)))
+        if not n_large:
             break
-    if members.limit(1).count():
-        tiles.append(scratch.stored(tiles_within(rest)))
+        members = rest.where(large & (F.col("node") != F.col("pivot"))).select("bucket", "node", "pivot")
     if tiles:
         more = scratch.stored(compare_tiles(reduce(DataFrame.union, tiles), contents, similarity))
         labels = components(more.union(labels.toDF("a", "b")), scratch)
