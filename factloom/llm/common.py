@@ -88,6 +88,25 @@ class Scratch:
         return result
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    name = f"_{name}"
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], each: int, how: str = "left") -> DataFrame:
+    """rows joined with facts (keys, n, ...), which has one row for each key, with n, how many of the rows have it. A key
+    with more than `each` rows is met in n / each places. What is broadcast for that are those keys alone: one for each
+    `each` rows of the input at most."""
+    fan, place = fresh(rows, "fan"), fresh(rows, "place")
+    hot = F.broadcast(facts.where(F.col("n") > each).select(*keys, F.ceil(F.col("n") / each).cast("int").alias(fan)))
+    dealt = rows.join(hot, keys, "left").withColumn(place, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce(fan, F.lit(1))).cast("int")).drop(fan)
+    copies = facts.withColumn(place, F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.col("n") / each)).cast("int") - 1))).drop("n")
+    return dealt.join(copies, [*keys, place], how).drop(place)
+
+
 def text_runs(texts: pa.Array, most: int = STEP_CHARS) -> Iterator[list[str]]:
     """The texts of an Arrow array in order, nulls as empty, in lists of at most `most` characters, or one longer text:
     Python objects exist for one list at a time."""
