@@ -4,18 +4,24 @@ Queries and candidates are cut into groups of a fixed number of rows, and each p
 work: the tile's candidates lie as one column for each dimension. The dimensions are taken block by block, those of
 largest query mass first. After a block a candidate can still gain at most the product of the norms of what remains of
 it and of the query; candidates that can't reach the query's k-th best score so far leave, and the survivors are
-compacted. Scores are sums of integers, so that they are exact. A tile returns k rows for each query at most, and the
+compacted. Scores are sums of integers, exact as floating-point numbers while components are below a bound; vectors with
+larger ones are scored whole by integers of any length. A tile returns k rows for each query at most, and the
 last step merges those by rank.
 
 Defined results: a vector that is null, or has null or non-finite components, takes no part; vectors of other lengths
 than the query's are no candidates for it; a query meets all rows but its own, told apart by row and not only by id, so
-that a repeated id is a candidate like any other; ties go to the smaller id; with fewer than k candidates all are
+that a repeated id is a candidate like any other; a score beyond 64 bits ranks by its exact value and is given as the
+nearest 64-bit number; ties go to the smaller id; with fewer than k candidates all are
 returned; empty tables give empty results. Columns other than id and vector aren't read.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
+import operator
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -37,17 +43,33 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & F.coalesce(fine, F.lit(False)), F.lit(False))
 
 
-def quantised(vector: Column, scale: float = SCALE) -> Column:
-    """floor(scale * x) of each component."""
-    return F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("bigint"))
+def whole(x: float, scale: float) -> int:
+    """floor(scale * x), exact for any finite x."""
+    return math.floor(Fraction(scale) * Fraction(x))
+
+
+def wide_key(score: int) -> str:
+    """A text that sorts as the number does."""
+    digits = str(abs(score))
+    if score >= 0:
+        return f"1{len(digits):05d}{digits}"
+    return f"0{99999 - len(digits):05d}" + "".join(chr(105 - ord(c)) for c in digits)
+
+
+def best_by_integers(queries: list, own: np.ndarray, rows: np.ndarray, vectors: list, k: int, scale: float) -> Iterator[tuple[int, int, int]]:
+    """(query, place, score): like best_of_block, by integers of any length, for vectors as they are given."""
+    held = [[whole(x, scale) for x in v] for v in vectors]
+    for i, q in enumerate(queries):
+        mine = [whole(x, scale) for x in q]
+        scores = ((sum(map(operator.mul, mine, v)), -p) for p, v in enumerate(held) if rows[p] != own[i])
+        for score, place in heapq.nlargest(k, scores):
+            yield i, -place, score
 
 
 def best_of_block(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, columns: np.ndarray, k: int, width: int = DIMENSIONS, step: int = STEP) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(queries, places, scores) of the k best candidates of every query, best first, for some queries at a time.
     Candidates are given as columns[dimension, candidate], in ascending order of id; own, rows: the rows of either side."""
     d, n = columns.shape
-    if float(np.abs(columns).max(initial=1)) * float(np.abs(queries).max(initial=1)) * d >= 2**53:
-        raise ValueError("components are too large for exact scores")
     order = np.argsort(-(queries.astype("f8") ** 2).sum(0), kind="stable")  # most query mass first
     down = columns[order].astype("f8")  # products of quantised components and their sums stay below 2^53
     cuts = [*range(width, d, width), d]
@@ -98,7 +120,7 @@ def best_of_block(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, column
 def top_k(vectors: DataFrame, is_query: Column, id: str = "vec_id", vector: str = "embedding", k: int = 5, scale: float = SCALE) -> DataFrame:
     """(query_id, rank, id, score): for every row that is_query holds for, its k best other rows."""
     rows = vectors.where(usable(F.col(vector))).select(
-        F.col(id).alias("id"), F.coalesce(is_query, F.lit(False)).alias("q"), quantised(F.col(vector), scale).alias("v"), F.monotonically_increasing_id().alias("row")
+        F.col(id).alias("id"), F.coalesce(is_query, F.lit(False)).alias("q"), F.col(vector).cast("array<double>").alias("v"), F.monotonically_increasing_id().alias("row")
     )
     rows = stored(rows, "vectors")  # row numbers are fixed from here on
     n, queries = rows.agg(F.count("*"), F.count_if("q")).first()
@@ -110,23 +132,50 @@ def top_k(vectors: DataFrame, is_query: Column, id: str = "vec_id", vector: str
         return placed.withColumn(other_name, F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
 
     left = side(rows.where("q"), blocks, "b", tiles, "t").select("b", "t", "id", "row", "v")
-    right = side(rows, tiles, "t", blocks, "b").select("b", "t", "id", "row", "v")
+    # columns of its own, as a cogroup of one table with itself loses those that both sides share
+    right = side(rows, tiles, "t", blocks, "b").select("b", "t", *(F.col(c).alias(c) for c in ("id", "row", "v")))
+
+    schema = "query_id long, query_row long, id long, score long, wide string, row long"
 
     def tile(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
         out = []
+
+        def add(q, places, scores, wide=None):
+            out.append(pd.DataFrame({"query_id": qid[q], "query_row": own[q], "id": ids[places], "score": scores, "wide": wide, "row": at[places]}))
+
+        def exactly(q: np.ndarray, some: np.ndarray) -> None:
+            found = list(best_by_integers([qv[i] for i in q], own[q], at[some], [cv[i] for i in some], k, scale))
+            if found:
+                clipped = [max(-(2**63), min(2**63 - 1, s)) for _, _, s in found]
+                add(q[[f[0] for f in found]], some[[f[1] for f in found]], clipped, [wide_key(s) for _, _, s in found])
+
+        if not len(qs) or not len(cs):  # a side without rows comes without columns
+            return pd.DataFrame(columns=["query_id", "query_row", "id", "score", "wide", "row"])
         lengths = cs["v"].map(len)
         for length, some in qs.groupby(qs["v"].map(len)):
             c = cs[lengths == length].sort_values(["id", "row"])
             if not len(c):
                 continue
-            ids, places_rows, columns = c["id"].to_numpy(), c["row"].to_numpy(), np.ascontiguousarray(np.stack(c["v"].to_numpy()).T)
-            own, qid = some["row"].to_numpy(), some["id"].to_numpy()
-            for q, places, scores in best_of_block(np.stack(some["v"].to_numpy()), own, places_rows, columns, k):
-                out.append(pd.DataFrame({"query_id": qid[q], "query_row": own[q], "id": ids[places], "score": scores, "row": places_rows[places]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "query_row": [], "id": [], "score": [], "row": []}).astype("i8")
-
-    found = left.groupBy("b", "t").cogroup(right.groupBy("b", "t")).applyInPandas(tile, "query_id long, query_row long, id long, score long, row long")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "id", "row")))
+            ids, at, cv = c["id"].to_numpy(), c["row"].to_numpy(), np.stack(c["v"].to_numpy())
+            own, qid, qv = some["row"].to_numpy(), some["id"].to_numpy(), np.stack(some["v"].to_numpy())
+            bound = math.sqrt(2**53 / length) / scale - 1  # products of smaller components, and their sums, stay below 2^53
+            small_c, small_q = (np.abs(v).max(1) < bound for v in (cv, qv))
+            place, asked = np.flatnonzero(small_c), np.flatnonzero(small_q)
+            if len(place) and len(asked):
+                columns = np.ascontiguousarray(np.floor(scale * cv[place]).T)
+                for q, places, scores in best_of_block(np.floor(scale * qv[asked]), own[asked], at[place], columns, k):
+                    add(asked[q], place[places], scores)
+            if not small_q.all():
+                exactly(np.flatnonzero(~small_q), np.arange(len(cv)))
+            if not small_c.all() and len(asked):
+                exactly(asked, np.flatnonzero(~small_c))
+        return pd.concat(out) if out else pd.DataFrame(columns=["query_id", "query_row", "id", "score", "wide", "row"])
+
+    found = left.groupBy("b", "t").cogroup(right.groupBy("b", "t")).applyInPandas(tile, schema)
+    # scores below 2^53 have no key of their own: it is made where a query has any
+    plain = F.abs("score").cast("string")
+    key = F.coalesce("wide", F.when(F.col("score") >= 0, F.concat(F.lit("1"), F.lpad(F.length(plain), 5, "0"), plain)).otherwise(F.concat(F.lit("0"), 99999 - F.length(plain), F.translate(plain, "0123456789", "9876543210"))))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), F.desc(key), "id", "row")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id), "score")
 
 

@@ -42,6 +42,14 @@ def test_repeated_ids_and_few_candidates(spark):
     assert run(spark, []) == []
 
 
+def test_large_finite_components_are_exact(spark):
+    rng = random.Random(9)
+    rows = [(i, f32(rng, 4)) for i in range(120)]
+    rows += [(150, [1e9, -1e9, 3.0, 0.5]), (151, [1e9, 1e9, 1.0, 0.0]), (152, [3e38, -3e38, 1.0, 0.0]), (200, [-3e38, 3e38, 2.0, 1.0]), (201, [3e38, 3e38, 1e9, 1.0])]
+    clipped = [(q, n, i, max(-(2**63), min(2**63 - 1, s))) for q, n, i, s in brute([(i, [float(np.float32(x)) for x in v]) for i, v in rows])]
+    assert run(spark, rows) == sorted(clipped, key=str)
+
+
 def test_pruning_in_small_steps_is_exact(monkeypatch):
     monkeypatch.setattr(t, "SEED", 16)
     rng = np.random.default_rng(7)
