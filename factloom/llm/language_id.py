@@ -3,11 +3,11 @@
 The states are the languages. A word's features are its prefixes and suffixes of one to three characters, its character
 pairs and triples, and, as a lexicon, the whole word with its edges; all are hashed into 2^18 buckets. They depend on
 the word alone, so that a worker keeps the scores of words that it has met. Transitions and first states are learned
-with them. The labels of words by forward-backward, over whole texts: texts of a batch advance together, one word at a
-time. A text's language is the one with the highest mean probability over its words, and that mean is its score.
+with them. Words are labelled by forward-backward over whole texts. A text's language is the one with the highest mean
+probability over its words, and that mean is its score; runs of words with one label are given beside it.
 
-Training takes a bounded sample of the texts with a known language (`rows_per_language` of the smallest key hashes of
-each language, `words_per_row` words from a place in the text that the hash gives), as (words, language) on the driver.
+Training takes a bounded sample of the texts with a known language, whole, on the driver: `rows_per_language` of the
+smallest key hashes of each language, the only bound here.
 Sequences for training are spliced from snippets of one to several languages, so that switches between languages occur
 and their cost is learned. Only the fit is bounded; every text is labelled whole.
 
@@ -28,13 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import Remembered, held_out, table, text_runs
+from factloom.llm.common import Remembered, fresh, held_out, table, text_runs
 
-BITS, ROWS_PER_LANGUAGE, WORDS_PER_ROW = 18, 600, 120
+BITS, ROWS_PER_LANGUAGE = 18, 160
 WORD = regex.compile(r"\p{L}+")
 UNKNOWN = "und"
-#: Words whose scores a worker keeps.
-KEPT = 400_000
+#: Words of a long text that advance as one piece, and words whose scores a worker keeps.
+PIECE, KEPT = 128, 400_000
 
 
 def _bucket(name: str) -> int:
@@ -89,57 +89,87 @@ class Crf:
             width = 4 * len(self.languages)
             self.known.update((w, rows[i * width : (i + 1) * width]) for i, w in enumerate(some))
 
-    def marginals(self, sequences: list[list[str]]) -> list[np.ndarray]:
-        """Probability of every language for every word of every sequence."""
-        states = len(self.languages)
+    def marginals(self, sequences: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(probability of every language for every word, where each sequence begins and the last ends)."""
         lengths = np.array([len(s) for s in sequences], "i8")
-        order = np.argsort(-lengths, kind="stable")
-        total = int(lengths.sum())
-        if not total:
-            return [np.empty((0, states)) for _ in sequences]
+        bounds = np.concatenate([np.zeros(1, "i8"), np.cumsum(lengths)])
+        if not bounds[-1]:
+            return np.empty((0, len(self.languages))), bounds
         scores = np.exp(np.clip(self.emissions([w for s in sequences for w in s]).astype("f8"), -60, 60))
-        starts = (np.cumsum(lengths) - lengths)[order]
-        lengths = lengths[order]
         trans, first = np.exp(np.clip(self.transitions, -60, 60)), np.exp(np.clip(self.first, -60, 60))
-        live = np.searchsorted(-lengths, -np.arange(int(lengths[0])), "left")  # sequences longer than t
-        forward = np.empty((total, states))
-        alpha = first[None, :] * scores[starts[: live[0]]]
-        for t in range(int(lengths[0])):
-            n = live[t]
-            at = starts[:n] + t
-            alpha = alpha[:n] if t == 0 else (alpha[:n] @ trans) * scores[at]
-            alpha /= alpha.sum(1, keepdims=True)
-            forward[at] = alpha
-        beta = np.empty((0, states))
-        for t in range(int(lengths[0]) - 1, -1, -1):
-            n = live[t]
-            ahead = live[t + 1] if t + 1 < len(live) else 0
-            if ahead:
-                beta = (beta * scores[starts[:ahead] + t + 1]) @ trans.T
-                beta /= beta.sum(1, keepdims=True)
-            if n > ahead:
-                beta = np.concatenate([beta, np.ones((n - ahead, states))])
-            forward[starts[:n] + t] *= beta
-        forward /= forward.sum(1, keepdims=True)
-        bounds = np.cumsum([len(s) for s in sequences])[:-1]
-        return np.split(forward, bounds)
-
-    def label(self, texts: list[str]) -> list[tuple[str, float]]:
-        """(language, score) of every text."""
-        sequences = [WORD.findall(t.lower()) for t in texts]
+        return posteriors(scores, bounds, trans, first), bounds
+
+    def label(self, texts: list[str]) -> list[tuple[str, float, list[dict]]]:
+        """(language, score, runs of words in one language) of every text."""
         if not self.languages:
-            return [(UNKNOWN, 0.0)] * len(texts)
+            return [(UNKNOWN, 0.0, [])] * len(texts)
+        found, bounds = self.marginals([WORD.findall(t.lower()) for t in texts])
+        best = found.argmax(1)
+        changes = np.flatnonzero(np.diff(best)) + 1
+        cuts = np.unique(np.concatenate([bounds, changes]))
+        at = np.searchsorted(cuts, bounds)
         out = []
-        for m in self.marginals(sequences):
-            if not len(m):
-                out.append((UNKNOWN, 0.0))
+        for i in range(len(texts)):
+            begin, end = int(bounds[i]), int(bounds[i + 1])
+            if begin == end:
+                out.append((UNKNOWN, 0.0, []))
                 continue
-            mean = m.mean(0)
-            best = int(mean.argmax())
-            out.append((self.languages[best], float(min(1.0, mean[best]))))
+            mean = found[begin:end].mean(0)
+            top = int(mean.argmax())
+            own = cuts[at[i] : at[i + 1] + 1].tolist()
+            runs = [{"lang": self.languages[best[s]], "start": s - begin, "end": e - begin} for s, e in zip(own, own[1:])]
+            out.append((self.languages[top], float(min(1.0, mean[top])), runs))
         return out
 
 
+def posteriors(scores: np.ndarray, bounds: np.ndarray, trans: np.ndarray, first: np.ndarray, piece: int = PIECE) -> np.ndarray:
+    """Forward-backward over sequences that lie one after the other in scores, cut into pieces that advance together, one
+    word at a time. For sequences of several pieces, the product of each piece's steps gives the vectors that enter the
+    next piece and the one before; these are carried from piece to piece."""
+    states, lengths = scores.shape[1], np.diff(bounds)
+    pieces = -(-lengths // piece)
+    owner = np.repeat(np.arange(len(lengths)), pieces)
+    number = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    starts = bounds[owner] + number * piece
+    sizes = np.minimum(piece, bounds[owner + 1] - starts)
+    enter, leave = np.tile(first, (len(owner), 1)), np.ones((len(owner), states))
+    several = np.flatnonzero(pieces[owner] > 1)
+    if len(several):
+        product = scores[starts[several], :, None] * np.eye(states)
+        for t in range(1, int(sizes[several].max())):
+            live = np.flatnonzero(sizes[several] > t)
+            step = (product[live].reshape(-1, states) @ trans).reshape(-1, states, states) * scores[starts[several[live]] + t][:, None, :]
+            product[live] = step / step.max((1, 2), keepdims=True)
+        row = np.full(len(owner), -1)
+        row[several] = np.arange(len(several))
+        for k in range(1, int(pieces.max())):
+            here = np.flatnonzero(number == k)
+            entered = np.einsum("ij,ijk->ik", enter[here - 1], product[row[here - 1]]) @ trans
+            enter[here] = entered / entered.sum(1, keepdims=True)
+        for k in range(int(pieces.max()) - 1, 0, -1):
+            here = np.flatnonzero(number == k)
+            left = np.einsum("ijk,ik->ij", product[row[here]], leave[here]) @ trans.T
+            leave[here - 1] = left / left.sum(1, keepdims=True)
+    order = np.argsort(-sizes, kind="stable")
+    starts, sizes, enter, leave = starts[order], sizes[order], enter[order], leave[order]
+    live = np.searchsorted(-sizes, -np.arange(int(sizes[0]) if len(sizes) else 0), "left")  # pieces longer than t
+    out = np.empty((len(scores), states))
+    alpha = enter
+    for t, n in enumerate(live):
+        alpha = (alpha if t == 0 else alpha[:n] @ trans) * scores[starts[:n] + t]
+        alpha /= alpha.sum(1, keepdims=True)
+        out[starts[:n] + t] = alpha
+    beta = np.empty((0, states))
+    for t in range(len(live) - 1, -1, -1):
+        n, ahead = live[t], len(beta)
+        if ahead:
+            beta = (beta * scores[starts[:ahead] + t + 1]) @ trans.T
+            beta /= beta.sum(1, keepdims=True)
+        beta = np.concatenate([beta, leave[ahead:n]])
+        out[starts[:n] + t] *= beta
+    return out / out.sum(1, keepdims=True)
+
+
 def fit_crf(rows: list[tuple[list[str], str]], epochs: int = 6, rate: float = 0.5, l2: float = 1e-6, batch: int = 64, seed: int = 7) -> Crf:
     """Maximum likelihood by AdaGrad over batches of spliced sequences; the gradient is observed minus expected counts."""
     languages = sorted({lang for _, lang in rows})
@@ -230,42 +260,43 @@ def _expected(emit: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, fi
     return posterior[mask], (joint * mask[:, 1:, None, None]).sum((0, 1))
 
 
-def train_languages(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", *, rows_per_language: int = ROWS_PER_LANGUAGE, words_per_row: int = WORDS_PER_ROW) -> Crf:
-    """Fits on a bounded sample of the rows with a language whose key is not held out."""
-    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(key))
-    hashed = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 40))
+def train_languages(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", *, rows_per_language: int = ROWS_PER_LANGUAGE) -> Crf:
+    """Fits on a bounded sample of the rows with a language whose key is not held out, on whole texts."""
+    known = docs.where(F.col(lang).isNotNull() & ~held_out(key)).withColumn("_hash", F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 40)))
     counts = known.groupBy(F.col(lang).alias("_lang")).count()
-    share = F.least(F.lit(1.0), F.lit(1.2 * rows_per_language) / F.col("count"))
-    # a fixed number of rows of each language: those under a hash bound, and a limit that makes the number exact at most
-    # languages are the states of the model, which the driver holds: their counts fit it too
-    picked = known.withColumn("_hash", hashed).join(F.broadcast(counts), F.col(lang) == F.col("_lang")).where(F.col("_hash") < share * F.lit(float(1 << 40)))
-    words = F.filter(F.split(F.lower(text), r"\P{L}+"), lambda w: w != "")
-    taken = picked.select(F.col(lang).cast("string").alias("lang"), words.alias("words"), "_hash").where(F.size("words") > 0)
-    begin = F.pmod(F.col("_hash"), F.greatest(F.lit(1), F.size("words") - words_per_row + 1)).cast("int") + 1
-    rows = taken.select("lang", F.slice("words", begin, F.lit(words_per_row)).alias("words"), "_hash").orderBy("_hash", "lang").toArrow()
+    # rows under a hash bound, so many that nearly always enough of a language have a text; the driver takes the first of
+    # them. Languages are the states of the model, which the driver holds: their counts fit it too.
+    shares = {r["_lang"]: min(1.0, 1.2 * rows_per_language / r["count"]) for r in counts.collect()}
+    if not shares:
+        return fit_crf([])
+    bound = F.element_at(F.create_map(*(F.lit(x) for pair in shares.items() for x in pair)), F.col(lang))
+    picked = known.where(F.col("_hash") < bound * F.lit(float(1 << 40))).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), "_hash").toArrow()
     sample, seen = [], {}
-    for lang_, words_ in zip(rows["lang"].to_pylist(), rows["words"].to_pylist(), strict=True):
-        seen[lang_] = seen.get(lang_, 0) + 1
-        if seen[lang_] <= rows_per_language:
-            sample.append((words_, lang_))
+    for _, lang_, text_ in sorted(zip(picked["_hash"].to_pylist(), picked["lang"].to_pylist(), picked["text"].to_pylist(), strict=True), key=lambda r: (r[0], r[1], r[2] or "")):
+        words = WORD.findall((text_ or "").lower())
+        if words and seen.get(lang_, 0) < rows_per_language:
+            seen[lang_] = seen.get(lang_, 0) + 1
+            sample.append((words, lang_))
     return fit_crf(sample)
 
 
 def label_languages(docs: DataFrame, model: Crf, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score."""
+    """docs with lang_pred, score and runs: array of (lang, start, end) over the text's words, end exclusive."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    run = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
-    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    @F.arrow_udf("struct<lang_pred:string,score:double,runs:array<struct<lang:string,start:int,end:int>>>")
     def label(texts: pa.Array) -> pa.Array:
         out = []
-        for plain in text_runs(texts, 3_000_000):
+        for plain in text_runs(texts):
             out += shared.value.label(plain)
-        return pa.StructArray.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())], ["lang_pred", "score"])
+        return pa.StructArray.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64()), pa.array([o[2] for o in out], run)], ["lang_pred", "score", "runs"])
 
-    return docs.withColumn("_label", label(F.col(text))).withColumns({"lang_pred": F.col("_label.lang_pred"), "score": F.col("_label.score")}).drop("_label")
+    held = fresh(docs, "label")
+    return docs.withColumn(held, label(F.col(text))).withColumns({n: F.col(held)[n] for n in ("lang_pred", "score", "runs")}).drop(held)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labelled = label_languages(docs.select("doc_id", "text"), train_languages(docs))
-    return labelled.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+    return labelled.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", F.transform("runs", lambda r: F.concat_ws(":", r["lang"], r["start"], r["end"])).alias("runs"))

@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 
 from factloom.llm import language_id as g
 
@@ -11,10 +12,15 @@ def model():
     return g.Crf(["aa", "bb", "cc"], rng.normal(0, 0.7, (1 << 18, 3)).astype("f4"), rng.normal(0, 1, (3, 3)), rng.normal(0, 1, 3))
 
 
-def test_forward_backward_equals_enumeration():
+@pytest.mark.parametrize("piece", [1, 2, 3, 128])
+def test_forward_backward_equals_enumeration(monkeypatch, piece):
+    """Whole and in pieces."""
+    monkeypatch.setattr(g.posteriors, "__defaults__", (piece,))
     m = model()
-    sequences = [["one", "two", "three", "four"], [], ["one"], ["x", "yy", "two"]]
-    for words, got in zip(sequences, m.marginals(sequences), strict=True):
+    sequences = [["one", "two", "three", "four", "two", "x"], [], ["one"], ["x", "yy", "two"]]
+    found, bounds = m.marginals(sequences)
+    for words, a, b in zip(sequences, bounds, bounds[1:], strict=False):
+        got = found[a:b]
         scores = m.emissions(words).astype("f8") if words else np.empty((0, 3))
         total, sums = 0.0, np.zeros((len(words), 3))
         for path in itertools.product(range(3), repeat=len(words)) if words else ():
@@ -30,10 +36,33 @@ def test_gradient_statistics_equal_marginals():
     words = [["one", "two", "three"], ["four", "one"]]
     emit = np.concatenate([m.emissions(w) for w in words]).astype("f8")
     posterior, pairs = g._expected(emit, np.array([3, 2]), m.transitions, m.first)
-    assert np.allclose(posterior, np.concatenate(m.marginals(words)), atol=1e-6)
+    assert np.allclose(posterior, m.marginals(words)[0], atol=1e-6)
     assert np.isclose(pairs.sum(), 3)
 
 
+def test_gradient_equals_differences_of_the_likelihood():
+    """Observed minus expected counts, which the fit follows, against the log-likelihood by enumeration."""
+    m, words, gold = model(), ["one", "two", "three", "one"], [0, 2, 1, 1]
+
+    def score(path, emit, trans, first):
+        return first[path[0]] + sum(emit[i, s] for i, s in enumerate(path)) + sum(trans[a, b] for a, b in zip(path, path[1:]))
+
+    def likelihood(emit, trans, first):
+        return score(gold, emit, trans, first) - np.log(sum(np.exp(score(p, emit, trans, first)) for p in itertools.product(range(3), repeat=len(words))))
+
+    emit = m.emissions(words).astype("f8")
+    posterior, pairs = g._expected(emit, np.array([4]), m.transitions, m.first)
+    for a, b in itertools.product(range(3), repeat=2):
+        more = m.transitions.copy()
+        more[a, b] += 1e-5
+        observed = sum((x, y) == (a, b) for x, y in zip(gold, gold[1:]))
+        assert abs((likelihood(emit, more, m.first) - likelihood(emit, m.transitions, m.first)) / 1e-5 - (observed - pairs[a, b])) < 1e-3
+    for i, s in itertools.product(range(4), range(3)):
+        more = emit.copy()
+        more[i, s] += 1e-5
+        assert abs((likelihood(more, m.transitions, m.first) - likelihood(emit, m.transitions, m.first)) / 1e-5 - ((gold[i] == s) - posterior[i, s])) < 1e-3
+
+
 VOCAB = {"xx": ["karo", "kimo", "kulta", "kesto"], "yy": ["salu", "soreb", "sinot", "sumal"], "zz": ["trink", "trast", "trolm", "trelp"]}
 
 
