@@ -1,7 +1,7 @@
 """Language identification of words and texts by a linear-chain conditional random field.
 
 The states are the languages. A word's features are its prefixes and suffixes of one to three characters, its character
-pairs and triples, and, as a lexicon, the whole word with its edges; all are hashed into 2^18 buckets. They depend on
+pairs and triples with its edges, and, as a lexicon, the whole word; all are hashed into 2^18 buckets. They depend on
 the word alone, so that a worker keeps the scores of words that it has met. Transitions and first states are learned
 with them. Words are labelled by forward-backward over whole texts. A text's language is the one with the highest mean
 probability over its words, and that mean is its score; runs of words with one label are given beside it.
@@ -24,11 +24,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import regex
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import Remembered, fresh, held_out, table, text_runs
+from factloom.llm.common import fresh, held_out, mix64, table, text_runs
 
 BITS, ROWS_PER_LANGUAGE = 18, 160
 WORD = regex.compile(r"\p{L}+")
@@ -37,19 +36,34 @@ UNKNOWN = "und"
 PIECE, KEPT = 128, 400_000
 
 
-def _bucket(name: str) -> int:
-    return xxhash.xxh3_64_intdigest(name) >> (64 - BITS)
-
-
-_BUCKETS = Remembered(_bucket, 200_000)
-
-
-def word_features(word: str) -> list[int]:
-    """Hashed affixes, character n-grams and the word itself; what occurs twice counts twice."""
-    w, n, get = f"^{word}$", len(word), _BUCKETS.__getitem__
-    names = ["p" + word[:k] for k in (1, 2, 3) if k <= n] + ["s" + word[-k:] for k in (1, 2, 3) if k <= n]
-    names += [w[i : i + 2] for i in range(n + 1)] + [w[i : i + 3] for i in range(n)]
-    return [*map(get, names), _bucket(w)]
+def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(word number, bucket) of the affixes, character n-grams and whole forms of the words, word by word; what occurs
+    twice counts twice."""
+    lengths = np.fromiter(map(len, words), "i8", len(words)) + 2
+    signs = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), "u4").astype("u8")
+    owner, begin = np.repeat(np.arange(len(words)), lengths), np.cumsum(lengths) - lengths
+    end, place = begin + lengths, np.arange(len(signs)) - begin[owner]
+    owners, hashes = [], []
+
+    def add(who: np.ndarray, starts: np.ndarray, size: int, kind: int) -> None:
+        hashed = np.full(len(starts), kind, "u8")
+        for k in range(size):
+            hashed = mix64(hashed * np.uint64(3) + signs[starts + k])
+        owners.append(who)
+        hashes.append(hashed)
+
+    for size in (2, 3):  # with the edges
+        starts = np.flatnonzero(place + size <= lengths[owner])
+        add(owner[starts], starts, size, 1)
+    for size in (1, 2, 3):
+        long = np.flatnonzero(lengths - 2 >= size)
+        add(long, begin[long] + 1, size, 2)
+        add(long, end[long] - 1 - size, size, 3)
+    owners.append(np.arange(len(words)))
+    hashes.append(mix64(np.add.reduceat(mix64(signs + (place.astype("u8") << np.uint64(32))), begin)) if len(words) else np.empty(0, "u8"))
+    owner, buckets = np.concatenate(owners), (np.concatenate(hashes) >> np.uint64(64 - BITS)).astype("i8")
+    order = np.argsort(owner, kind="stable")
+    return owner[order], buckets[order]
 
 
 @dataclass
@@ -79,14 +93,12 @@ class Crf:
         return np.frombuffer(b"".join(map(get, words)), "f4").reshape(len(words), len(self.languages))
 
     def _learn(self, words: list[str]) -> None:
+        width = 4 * len(self.languages)
         for at in range(0, len(words), 20_000):
-            some, buckets, sizes = words[at : at + 20_000], [], []
-            for w in some:
-                own = word_features(w)
-                buckets += own
-                sizes.append(len(own))
-            rows = np.add.reduceat(self.weights[np.array(buckets)], np.cumsum(sizes) - sizes, axis=0).astype("f4").tobytes()
-            width = 4 * len(self.languages)
+            some = words[at : at + 20_000]
+            owner, buckets = word_features(some)
+            held = self.weights[buckets]
+            rows = np.stack([np.bincount(owner, held[:, k], len(some)) for k in range(held.shape[1])], 1).astype("f4").tobytes()
             self.known.update((w, rows[i * width : (i + 1) * width]) for i, w in enumerate(some))
 
     def marginals(self, sequences: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
@@ -179,16 +191,12 @@ def fit_crf(rows: list[tuple[list[str], str]], epochs: int = 6, rate: float = 0.
         return model
     of, pick = {lang: i for i, lang in enumerate(languages)}, random.Random(seed)
     vocabulary: dict[str, int] = {}
-    lists = []
     snippets = []
     for words, lang in rows:
-        ids = []
-        for w in words:
-            if w not in vocabulary:
-                vocabulary[w] = len(lists)
-                lists.append(np.array(word_features(w)))
-            ids.append(vocabulary[w])
+        ids = [vocabulary.setdefault(w, len(vocabulary)) for w in words]
         snippets += [(ids[i : i + 12], of[lang]) for i in range(0, len(ids), 12)]
+    owner, buckets = word_features(list(vocabulary))
+    lists = np.split(buckets, np.searchsorted(owner, np.arange(1, len(vocabulary))))
     gw, gt, gf = np.full((1 << BITS, states), 1e-8), np.full((states, states), 1e-8), np.full(states, 1e-8)
     for _ in range(epochs):
         pick.shuffle(snippets)
