@@ -26,7 +26,7 @@ bucket in 1 of 70,000 cases, at 0.85 in 1 of 10 million.
 Defined results: a row with a null text is a class of its own; equal texts, empty ones too, are one class; texts without
 words are near-duplicates of equal texts only; texts of any length are sketched whole; repeated rows belong to one
 class; classes are connected components, named by their smallest id (null if all are null); an empty table gives an empty
-result. Other columns aren't read; a column `_row` of the documents is kept like any other.
+result. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import Remembered, Scratch, mix64, shards, table, text_runs, words_of
+from factloom.llm.common import Remembered, Scratch, fresh, mix64, shards, table, text_runs, words_of
 
 SIZE, BANDS, ROWS, SIMILARITY = 5, 28, 5, 0.8
 #: Rounds with a pivot, nodes on one side of a tile, rows of a task of tiles, pairs in one place with one pivot, and nodes
@@ -293,10 +293,13 @@ def near_duplicate_classes(
     members = buckets.join(crowds(buckets.withColumn("label", F.col("node"))), "bucket")
     members = scratch.stored(members.select("bucket", "node", "pivot").where("node <> pivot"))
     met = scratch.stored(members.select("node").union(members.select("pivot")).distinct())
-    # one row of each node that meets another: equal texts are told apart by id, so that a text with many rows is no hot key
-    wanted = nodes.join(met, "node").select("node", F.col("md5").alias("_md5"), F.col("first.id").alias("_id"))
-    texts = numbered.select("md5", "id", "text").where("md5 is not null").hint("merge").join(wanted, (F.col("md5") == F.col("_md5")) & F.col("id").eqNullSafe(F.col("_id")))
-    contents = scratch.bucketed(texts.dropDuplicates(["md5", "id"]).select("node", hashes_of(size)("text").alias("hashes")), "node", shards(met.count(), BUCKETED, 12))
+    wanted = nodes.join(met, "node").select("node", F.col("md5").alias("_md5"), F.col("first.id").alias("_id"), F.col("first.row").alias("_row"))
+    if row:  # docs may be bucketed by it: then texts stay where they are
+        texts = numbered.hint("merge").join(wanted, F.col("row") == F.col("_row"))
+    else:  # one row of each text; texts are told apart by id too, so that a text with many rows is no hot key
+        met_text = (F.col("md5") == F.col("_md5")) & F.col("id").eqNullSafe(F.col("_id"))
+        texts = numbered.where("md5 is not null").hint("merge").join(wanted, met_text).dropDuplicates(["md5", "id"])
+    contents = scratch.bucketed(texts.select("node", hashes_of(size)("text").alias("hashes")), "node", shards(met.count(), BUCKETED, 12))
 
     least, reach = similarity - 1e-9, 2 * similarity - 1 - 1e-9
     links, tiles = [], []
@@ -334,15 +337,14 @@ def near_duplicate_classes(
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the first row of each class alone. Row numbers are written once with the rows: numbers of two scans
-    differ where the splits do."""
-    scratch, number = Scratch(docs.sparkSession, "rows"), "_row"
-    while number in docs.columns:
-        number += "_"
-    rows = scratch.stored(docs.withColumn(number, F.monotonically_increasing_id()))
+    """docs with the first row of each class alone. Row numbers are written once with the rows, as numbers of two scans
+    differ where the splits do, in a table bucketed by them: both joins on them leave the texts where they are. That
+    table stays in the session's catalogue and in the shared folder, as the result is read from it."""
+    scratch, number = Scratch(docs.sparkSession, "rows"), fresh(docs, "row")
+    rows = scratch.bucketed(docs.withColumn(number, F.monotonically_increasing_id()), number, shards(docs.count(), 2 * BUCKETED, 12))
     classes = near_duplicate_classes(rows, key, text, row=number)
-    kept = scratch.stored(classes.where(F.col("row") == F.col("first_row")).select(F.col("row").alias(number)))
-    return rows.join(kept, number, "left_semi").drop(number)
+    kept = classes.where(F.col("row") == F.col("first_row")).select(F.col("row").alias(number))
+    return rows.hint("merge").join(kept, number, "left_semi").drop(number)
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
