@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.text import lexical_tokens
+from factloom.operators.graph import cut
 
 K1, B = 1.2, 0.75
 
@@ -18,26 +19,34 @@ K1, B = 1.2, 0.75
 def postings(docs: DataFrame, tokens: Callable[[str], Column] = lexical_tokens) -> DataFrame:
     """docs (shard, doc_id, text, active) -> (shard, doc_id, active, token, tf, length)."""
     held = docs.select("shard", "doc_id", "active", tokens("text").alias("tokens"))
-    exploded = held.select("shard", "doc_id", "active", F.size("tokens").alias("length"), F.explode("tokens").alias("token"))
+    # outer, as a plain explode makes the optimiser tokenise once more to leave out texts without tokens
+    exploded = held.select("shard", "doc_id", "active", F.size("tokens").alias("length"), F.explode_outer("tokens").alias("token")).where("token is not null")
     return exploded.groupBy("shard", "doc_id", "active", "token").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
-def shard_statistics(docs: DataFrame, mode: str, tokens: Callable[[str], Column] = lexical_tokens) -> DataFrame:
-    """(shard, docs, mean_length) over active documents, or over all in mode `all`."""
-    counted = docs.where("active") if mode == "active" else docs
-    return counted.groupBy("shard").agg(F.count("*").alias("docs"), F.avg(F.size(tokens("text"))).alias("mean_length"))
+def index(docs: DataFrame, tokens: Callable[[str], Column] = lexical_tokens) -> DataFrame:
+    """The postings of docs, computed once and kept in the shared folder, for several modes and statistics to read."""
+    return cut(postings(docs, tokens))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, mode: str = "all", tokens: Callable[[str], Column] = lexical_tokens, k1: float = K1, b: float = B) -> DataFrame:
-    """queries (query_id, shard, text) x docs (shard, doc_id, text, active) -> (query_id, shard, doc_id, score).
+def shard_statistics(docs: DataFrame, mode: str, index: DataFrame) -> DataFrame:
+    """(shard, docs, mean_length) over active documents, or over all in mode `all`. Texts are not read: lengths are the sums
+    of the index."""
+    counted, posted = (docs.where("active"), index.where("active")) if mode == "active" else (docs, index)
+    lengths = posted.groupBy("shard").agg(F.sum("tf").alias("tokens"))
+    joined = counted.groupBy("shard").agg(F.count("*").alias("docs")).join(lengths, "shard", "left")
+    return joined.select("shard", "docs", (F.coalesce("tokens", F.lit(0)) / F.col("docs")).alias("mean_length"))
 
-    A null shard in a query means every shard. Mode `active` counts and returns active documents only."""
-    corpus = docs.where("active") if mode == "active" else docs
+
+def bm25(queries: DataFrame, docs: DataFrame, mode: str = "all", tokens: Callable[[str], Column] = lexical_tokens, k1: float = K1, b: float = B, *, index: DataFrame | None = None) -> DataFrame:
+    """queries (query_id, text) x docs (shard, doc_id, text, active) -> (query_id, shard, doc_id, score), in every shard.
+    index: of docs, if there is one. Mode `active` counts and returns active documents only."""
+    posted = cut(postings(docs, tokens)) if index is None else index
+    stats = shard_statistics(docs, mode, posted)
+    posted = posted.where("active") if mode == "active" else posted
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens("text"))).alias("token"))
-    wanted = terms.select("token").distinct()
-    posted = postings(corpus, tokens).join(wanted, "token", "left_semi")
+    posted = posted.join(terms.select("token").distinct(), "token", "left_semi")
     df = posted.groupBy("shard", "token").agg(F.count("*").alias("df"))
-    stats = shard_statistics(corpus, mode, tokens)
     idf = F.log1p((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
     weighted = posted.join(df, ["shard", "token"]).join(stats, "shard").select("shard", "doc_id", "token", (idf * weight).alias("w"))

@@ -56,11 +56,11 @@ def buckets(rows: DataFrame, owner: str, keys: dict[str, Column], episode: str,
     )
 
 
-def summaries(rows: DataFrame, by: list[str], key: str, text: str, at: str, most: int = 5) -> DataFrame:
-    """Per group: its distinct texts in time order (the first `most`, joined), their number, and the time range."""
+def summaries(rows: DataFrame, by: list[str], key: str, text: str, at: str) -> DataFrame:
+    """Per group: its distinct texts in time order, joined, their number, and the time range."""
     first = rows.groupBy(*by, text).agg(F.min(F.struct(at, key)).alias("first"), F.count("*").alias("n"), F.max(at).alias("last"))
     ranked = first.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("first", text)))
-    listed = F.array_sort(F.collect_list(F.when(F.col("place") <= most, F.struct("place", F.col(text).alias("text")))))
+    listed = F.array_sort(F.collect_list(F.struct("place", F.col(text).alias("text"))))
     return ranked.groupBy(*by).agg(
         F.array_join(F.transform(listed, lambda x: x["text"]), " | ").alias("summary"),
         F.count("*").alias("texts"), F.sum("n").alias("rows"), F.min(F.col("first")[at]).alias("since"), F.max("last").alias("until"),

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.text import hashed_terms
 
-#: Query rows that are held as one constant of the plan; more are joined block by block.
-QUERY_BLOCK = 512
+#: Rows of a tile on the side of the queries and of the vectors.
+QUERY_BLOCK, TILE = 512, 8192
 
 
 def is_unit(vector: Column | str, dims: int, tolerance: float = 0.03) -> Column:
@@ -19,21 +21,31 @@ def is_unit(vector: Column | str, dims: int, tolerance: float = 0.03) -> Column:
     return F.coalesce(fine, F.lit(False))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def dense_scores(queries: DataFrame, vectors: DataFrame, least: float | None = None) -> DataFrame:
-    """queries (query_id, q) x vectors (id, v) -> (query_id, id, score).
-
-    The stated queries are packed into blocks of QUERY_BLOCK, so that a vector row meets a block once and its scores are
-    computed in place; a least score is applied before anything leaves the row."""
-    numbered = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // QUERY_BLOCK)))))
-    blocks = numbered.groupBy("block").agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
-    scores = F.transform("qs", lambda x: F.struct(x["query_id"].alias("query_id"), dot(x["q"], F.col("v")).alias("score")))
-    if least is not None:
-        scores = F.filter(scores, lambda s: s["score"] >= least)
-    return vectors.crossJoin(blocks).select("id", F.explode(scores).alias("s")).select("s.query_id", "id", "s.score")
+def dense_scores(queries: DataFrame, vectors: DataFrame, least: float | None = None, k: int | None = None) -> DataFrame:
+    """queries (query_id, q) x vectors (id, v) -> (query_id, id, score), by inner products of blocks.
+
+    Both sides are dealt into tiles of a bounded number of rows, and each pair of tiles is one matrix product. A least
+    score, or the k best of each query in a tile, and what ties with them when rounded to five digits, is all that leaves
+    it. Vectors of one length meet; both sides are finite."""
+    tiles, blocks = max(1, -(-vectors.count() // TILE)), max(1, -(-queries.count() // QUERY_BLOCK))
+    left = queries.select(F.col("query_id").alias("query_id"), F.col("q").cast("array<double>").alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"))
+    right = vectors.select(F.col("id").alias("id"), F.col("v").cast("array<double>").alias("v"), F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int").alias("tile"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+
+    def product(qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": np.empty(0, "i8"), "id": np.empty(0, "i8"), "score": np.empty(0)})]
+        if len(qs) and len(vs):
+            for length, some in qs.groupby(qs["q"].map(len)):
+                same = vs[vs["v"].map(len) == length]
+                if len(same):
+                    scores = np.stack(some["q"].to_numpy()) @ np.stack(same["v"].to_numpy()).T
+                    kept = np.ones(scores.shape, bool) if least is None else scores >= least
+                    if k is not None and k < scores.shape[1]:
+                        kept &= scores >= np.partition(scores, -k, axis=1)[:, -k, None] - 1e-5
+                    i, j = np.nonzero(kept)
+                    out.append(pd.DataFrame({"query_id": some["query_id"].to_numpy()[i], "id": same["id"].to_numpy()[j], "score": scores[i, j]}))
+        return pd.concat(out)
+
+    return left.groupBy("block", "tile").cogroup(right.groupBy("block", "tile")).applyInPandas(product, "query_id long, id long, score double")
 
 
 def hashed_vectors(docs: DataFrame, id: str, text: str, dims: int = 384) -> DataFrame:

@@ -96,12 +96,11 @@ SELECT key, value FROM l WHERE n = 1 AND value % 4 <> 0"""
 
 def capture_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages of one role in a conversation as registrations of one identity."""
-    rows = views.episodes(spark, sf_dir).withColumn("content_hash", F.substring("content_hash", 1, 1))
-    return versions.revisions(rows, ["owner", "actor"], "turn", "episode_id", "content_hash").select("episode_id", "owner", "actor", "revision", "is_noop")
+    return versions.revisions(views.episodes(spark, sf_dir), ["owner", "actor"], "turn", "episode_id", "content_hash").select("episode_id", "owner", "actor", "revision", "is_noop")
 
 
 CAPTURE_REVISIONS = f"""WITH {views.EPISODES},
-c AS (SELECT episode_id, owner, actor, turn, substring(content_hash, 1, 1) AS h FROM v_episode),
+c AS (SELECT episode_id, owner, actor, turn, content_hash AS h FROM v_episode),
 x AS (SELECT *, CASE WHEN lag(episode_id) OVER w IS NULL THEN 1 ELSE CAST(h <> lag(h) OVER w AS INT) END AS ch FROM c WINDOW w AS (PARTITION BY owner, actor ORDER BY turn, episode_id))
 SELECT episode_id, owner, actor, CAST(sum(ch) OVER (PARTITION BY owner, actor ORDER BY turn, episode_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS revision, ch = 0 AS is_noop FROM x"""
 
@@ -199,15 +198,15 @@ SELECT scope, k.g AS granularity, k.b AS bucket, count(DISTINCT event_id) AS epi
 
 
 def summary_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.episodes(spark, sf_dir).withColumn("line", F.substring(text.name_key("content"), 1, 40))
+    rows = views.episodes(spark, sf_dir).withColumn("line", text.name_key("content"))
     return maintenance.summaries(rows, ["owner", "actor"], "episode_id", "line", "turn").select("owner", "actor", "summary", "texts", "rows", "since", "until")
 
 
 SUMMARY_EXTRACT = rf"""WITH {views.EPISODES},
-l AS (SELECT owner, actor, turn, episode_id, substring(trim(regexp_replace(lower(coalesce(content, '')), '\s+', ' ', 'g')), 1, 40) AS line FROM v_episode),
+l AS (SELECT owner, actor, turn, episode_id, trim(regexp_replace(lower(coalesce(content, '')), '\s+', ' ', 'g')) AS line FROM v_episode),
 d AS (SELECT owner, actor, line, min((turn, episode_id)) AS first, count(*) AS n, min(turn) AS since, max(turn) AS last FROM l GROUP BY ALL),
 p AS (SELECT *, row_number() OVER (PARTITION BY owner, actor ORDER BY first, line) AS place FROM d)
-SELECT owner, actor, coalesce(string_agg(line, ' | ' ORDER BY place) FILTER (place <= 5), '') AS summary, count(*) AS texts, CAST(sum(n) AS BIGINT) AS rows, min(since) AS since, max(last) AS until FROM p GROUP BY owner, actor"""
+SELECT owner, actor, coalesce(string_agg(line, ' | ' ORDER BY place), '') AS summary, count(*) AS texts, CAST(sum(n) AS BIGINT) AS rows, min(since) AS since, max(last) AS until FROM p GROUP BY owner, actor"""
 
 
 def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,7 +226,7 @@ def rare_token_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RARE_TOKEN_DUPLICATES = """WITH d AS (SELECT source, doc_id, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS toks FROM documents),
 t AS (SELECT source, doc_id, unnest(toks) AS token FROM d),
-f AS (SELECT source, token, count(*) AS df FROM t GROUP BY ALL HAVING count(*) BETWEEN 2 AND 500),
+f AS (SELECT source, token, count(*) AS df FROM t GROUP BY ALL HAVING count(*) > 1),
 k AS (SELECT t.*, row_number() OVER (PARTITION BY source, doc_id ORDER BY df, token) AS n FROM t JOIN f USING (source, token)),
 p AS (SELECT DISTINCT x.source, x.doc_id AS a, y.doc_id AS b FROM k x JOIN k y ON x.source = y.source AND x.token = y.token AND x.doc_id < y.doc_id AND x.n <= 3 AND y.n <= 3),
 j AS (SELECT p.source, a, b, len(list_intersect(u.toks, v.toks)) AS c, len(u.toks) AS nu, len(v.toks) AS nv FROM p JOIN d u ON u.doc_id = a JOIN d v ON v.doc_id = b)

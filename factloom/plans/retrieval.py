@@ -12,8 +12,12 @@ from factloom.plans import views
 K = 5
 
 
-def _bm25(spark: SparkSession, sf_dir: str, mode: str = "all") -> DataFrame:
-    scored = lexical.bm25(views.benchmark_queries(spark, sf_dir), views.documents(spark, sf_dir), mode, text.word_tokens)
+def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.index(views.documents(spark, sf_dir), text.word_tokens)
+
+
+def _bm25(spark: SparkSession, sf_dir: str, mode: str = "all", index: DataFrame | None = None) -> DataFrame:
+    scored = lexical.bm25(views.benchmark_queries(spark, sf_dir), views.documents(spark, sf_dir), mode, text.word_tokens, index=index)
     return scored.select("query_id", "shard", F.col("doc_id").alias("id"), F.round("score", 6).alias("score"))
 
 
@@ -29,7 +33,7 @@ def bm25_active_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bm25_sql(where: str = "") -> str:
-    return f"""v_query AS (SELECT item_id AS query_id, substring(text, 11, 80) AS text FROM benchmark),
+    return f"""v_query AS (SELECT item_id AS query_id, text, substring(text, 11, 80) AS passage FROM benchmark),
 v_doc AS (SELECT source AS shard, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS toks FROM documents {where}),
 term AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM v_query),
 tok AS (SELECT shard, doc_id, len(toks) AS length, unnest(toks) AS token FROM v_doc),
@@ -52,12 +56,10 @@ SELECT query_id, shard, id, rank, score FROM r WHERE rank <= 5"""
 
 
 def corpus_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = views.documents(spark, sf_dir)
-    stats = lexical.shard_statistics(docs, "all", text.word_tokens).join(
-        lexical.shard_statistics(docs, "active", text.word_tokens).select("shard", F.col("docs").alias("active_docs"), F.col("mean_length").alias("active_mean")), "shard", "left"
-    )
-    terms = lexical.postings(docs, text.word_tokens).groupBy("shard").agg(F.count_distinct("token").alias("terms"), F.sum("tf").alias("tokens"))
-    return stats.join(terms, "shard", "left").select(
+    docs, index = views.documents(spark, sf_dir), _index(spark, sf_dir)
+    active = lexical.shard_statistics(docs, "active", index).select("shard", F.col("docs").alias("active_docs"), F.col("mean_length").alias("active_mean"))
+    terms = index.groupBy("shard").agg(F.count_distinct("token").alias("terms"), F.sum("tf").alias("tokens"))
+    return lexical.shard_statistics(docs, "all", index).join(active, "shard", "left").join(terms, "shard", "left").select(
         "shard", "docs", F.round("mean_length", 6).alias("mean_length"), F.coalesce("active_docs", F.lit(0)).alias("active_docs"), F.round("active_mean", 6).alias("active_mean"), "terms", "tokens"
     )
 
@@ -73,14 +75,14 @@ def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q")), rows
 
 
-def _dense(spark: SparkSession, sf_dir: str, least: float | None = None) -> DataFrame:
+def _dense(spark: SparkSession, sf_dir: str, least: float | None = None, k: int | None = None) -> DataFrame:
     queries, rows = _vectors(spark, sf_dir)
-    found = vectors.dense_scores(queries, rows, least).where("query_id <> id")
+    found = vectors.dense_scores(queries, rows, least, k).where("query_id <> id")
     return found.select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.top_per(_dense(spark, sf_dir), ["query_id"], K, F.desc("score"), F.asc("id")).select("query_id", "id", "rank", "score")
+    return lexical.top_per(_dense(spark, sf_dir, k=K + 1), ["query_id"], K, F.desc("score"), F.asc("id")).select("query_id", "id", "rank", "score")
 
 
 def dense_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +102,8 @@ def _routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     def ranked(df: DataFrame, name: str) -> DataFrame:
         return lexical.top_per(df, ["query_id"], 50, F.desc("score"), F.asc("id")).select("query_id", "id", F.lit(name).alias("route"), "rank")
 
-    every, active = _bm25(spark, sf_dir), _bm25(spark, sf_dir, "active")
+    index = _index(spark, sf_dir)
+    every, active = _bm25(spark, sf_dir, index=index), _bm25(spark, sf_dir, "active", index)
     return ranked(every, "all").unionByName(ranked(active, "active"))
 
 
@@ -149,15 +152,17 @@ SELECT query_id, id, rank, score FROM r WHERE rank <= 10"""
 
 
 def _relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a phrase whole. Candidates come from the lexical join, so that no query meets all texts."""
+    """Documents that hold a query's passage whole. Candidates come from the longest word inside the passage, so that no
+    query meets all texts; a passage without one, of two words or fewer, has no relevant documents."""
     queries, docs = views.benchmark_queries(spark, sf_dir), views.read(spark, sf_dir, "documents")
-    held = queries.withColumn("anchor", F.try_element_at(F.array_sort(F.array_distinct(F.regexp_extract_all(F.substring("text", 2, 78), F.lit(r"(?<=[^A-Za-z0-9])[a-z0-9]+(?=[^A-Za-z0-9])"), 0)), lambda a, b: F.length(b) - F.length(a)), F.lit(1)))
+    inner = F.array_distinct(F.regexp_extract_all("passage", F.lit(r"(?<=[^A-Za-z0-9])[A-Za-z0-9]+(?=[^A-Za-z0-9])"), 0))
+    held = queries.withColumn("anchor", F.lower(F.try_element_at(F.array_sort(inner, lambda a, b: F.length(b) - F.length(a)), F.lit(1))))
     words = docs.select("doc_id", F.explode(F.array_distinct(text.word_tokens("text"))).alias("anchor"))
-    candidates = held.join(words, "anchor").select("query_id", F.col("text").alias("phrase"), "doc_id")
-    return candidates.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "phrase")).select(F.col("query_id").alias("case_id"), F.col("doc_id").alias("id"))
+    candidates = held.join(words, "anchor").select("query_id", "passage", "doc_id")
+    return candidates.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "passage")).select(F.col("query_id").alias("case_id"), F.col("doc_id").alias("id"))
 
 
-_RELEVANT = "relevant AS (SELECT query_id AS case_id, doc_id AS id FROM v_query q JOIN documents d ON contains(d.text, q.text))"
+_RELEVANT = "relevant AS (SELECT query_id AS case_id, doc_id AS id FROM v_query q JOIN documents d ON contains(d.text, q.passage))"
 
 
 def _metrics(spark: SparkSession, sf_dir: str, hits: DataFrame) -> DataFrame:

@@ -68,9 +68,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queries: characters 11 to 90 of every benchmark text, as in the SQL, not the whole text."""
+    """Queries: the whole text of every benchmark item; passage: its characters 11 to 90, which a relevant document holds."""
     b = read(spark, sf_dir, "benchmark")
-    return b.select(F.col("item_id").alias("query_id"), F.substring("text", 11, 80).alias("text"))
+    return b.select(F.col("item_id").alias("query_id"), "text", F.substring("text", 11, 80).alias("passage"))
 
 
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
