@@ -119,3 +119,38 @@ def hashed_terms(c: Column | str, dims: int = 384) -> Column:
         F.transform(terms, fnv1a32),
         lambda h: F.struct((h % dims).cast("int").alias("dim"), F.when(h.bitwiseAND(F.lit(0x80000000)) != 0, -1).otherwise(1).alias("sign")),
     )
+
+
+# Words that requirement tokens leave out, and the patterns of questions about everything known of a person.
+REQUIREMENT_STOPS = ("我的", "关于", "什么", "哪些", "用户", "记得", "分别", "the", "what", "about", "remember")
+BROAD_PATTERNS = (
+    "(?:我的|关于我|对我的|我过去|我以前|我这些年).{0,20}(?:哪些|所有|全部|总结|概括|回顾|偏好|习惯|经历|变化|历史|过去一年|多方面|分别|列出|信息|事情|记忆)",
+    "(?:总结|概括|回顾|列出|说说).{0,20}(?:我的|关于我|对我的|我过去|我以前|我这些年|你记得我的)",
+    "你(?:还)?记得我.{0,12}(?:什么|哪些|多少|事情|信息|记忆)",
+    r"(?:my|about\s+me|what\s+you\s+(?:remember|know)\s+about\s+me).{0,32}(?:anything|everything|all|summary|summari[sz]e|preferences|habits|history|changes|facts|memories)",
+    r"(?:summary|summari[sz]e|list|recap).{0,32}(?:my|about\s+me|what\s+you\s+(?:remember|know)\s+about\s+me)",
+)
+
+
+def _pairs(runs: Column) -> Column:
+    """The neighbouring pairs of signs in every run of an array."""
+    return F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
+
+
+def requirement_tokens(c: Column | str) -> Column:
+    """Distinct Latin words of two signs or more, Han runs of two or more, and their pairs, without REQUIREMENT_STOPS."""
+    low = F.lower(_text(c))
+    runs = F.regexp_extract_all(low, F.lit(r"[\x{3400}-\x{9fff}]{2,}"), 0)
+    words = F.regexp_extract_all(low, F.lit("[a-z0-9][a-z0-9._-]+"), 0)
+    return F.array_except(F.array_distinct(F.concat(words, runs, _pairs(runs))), F.array(*(F.lit(s) for s in REQUIREMENT_STOPS)))
+
+
+def feedback_tokens(c: Column | str) -> Column:
+    """Distinct Latin words of two signs or more, and the pairs of Han runs."""
+    low = F.lower(_text(c))
+    return F.array_distinct(F.concat(F.regexp_extract_all(low, F.lit("[a-z0-9@._+-]{2,}"), 0), _pairs(F.regexp_extract_all(low, F.lit(r"[\x{3400}-\x{9fff}]{2,}"), 0))))
+
+
+def is_broad(c: Column | str) -> Column:
+    """Whether a question asks for everything known of a person."""
+    return F.lower(_text(c)).rlike("|".join(BROAD_PATTERNS))

@@ -52,3 +52,13 @@ def calibration_errors(samples: DataFrame, by: list[str], bins: int = 10) -> Dat
     loss = samples.groupBy(*by).agg(F.avg(F.pow(F.col("score") - y, 2)).alias("brier"), F.avg(-(y * F.log(p) + (1 - y) * F.log(1 - p))).alias("log_loss"))
     table = calibration_bins(samples, by, bins).groupBy(*by).agg((F.sum(F.col("gap") * F.col("n")) / F.sum("n")).alias("ece"), F.max("gap").alias("max_error"))
     return table.join(loss, by)
+
+
+def margin_thresholds(samples: DataFrame, by: list[str], false_positive_cost: float = 3.0) -> DataFrame:
+    """The middle of the gap between the highest negative and the lowest positive score, where there is one, else the fitted
+    threshold; (by, threshold, clean)."""
+    positive, negative = F.min(F.when(F.col("relevant"), F.col("score"))), F.max(F.when(~F.col("relevant"), F.col("score")))
+    ends = samples.groupBy(*by).agg(positive.alias("low"), negative.alias("high"))
+    clean = F.coalesce(F.col("high") < F.col("low"), F.lit(False))
+    joined = fitted_thresholds(samples, by, false_positive_cost).join(ends, by)
+    return joined.select(*by, F.when(clean, (F.col("low") + F.col("high")) / 2).otherwise(F.col("threshold")).alias("threshold"), clean.alias("clean"))

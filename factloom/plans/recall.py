@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import recall
-from factloom.plans import views
+from factloom.functions import scores, text
+from factloom.operators import calibration, recall, temporal, writing
+from factloom.plans import analysis, lifecycle, views
 
 
 def shard_members(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,5 +125,104 @@ r AS (SELECT *, count(*) OVER (PARTITION BY fact_id) AS summaries FROM h QUALIFY
 SELECT fact_id, summary_id, round(support, 6) AS support, summaries FROM r"""
 
 
-QUERIES = {f.__name__: f for f in (shard_members, tier_budgets, bounded_history, feedback_status, label_states, review_confirmation, feedback_purge, claim_keys, summary_drilldown)}
+def expired_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts that last three years, on the first day of 1997."""
+    rows = views.facts(spark, sf_dir).withColumn("until", F.col("valid_from") + F.expr("INTERVAL 3 YEARS"))
+    return writing.expired(rows, "until", F.lit("1997-01-01").cast("timestamp")).select("owner", "fact_id", "status")
+
+
+EXPIRED_FACTS = f"""WITH {views.FACTS}
+SELECT owner, fact_id, CASE WHEN status = 'active' AND valid_from + INTERVAL 3 YEAR <= TIMESTAMP '1997-01-01' THEN 'expired' ELSE status END AS status FROM v_fact"""
+
+
+def known_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts that held on one day, as they were known on a later one: each is recorded, and closed, two days after it begins
+    and ends."""
+    rows = views.facts(spark, sf_dir).withColumns({"recorded_at": F.col("valid_from") + F.expr("INTERVAL 2 DAYS"), "closed_at": F.col("valid_to") + F.expr("INTERVAL 2 DAYS")})
+    held = temporal.valid_at(F.lit("1995-03-15").cast("timestamp"), "valid_from", "valid_to") & temporal.visible_at(F.lit("1995-03-16").cast("timestamp"))
+    return rows.where(held).select("owner", "fact_id", "value")
+
+
+KNOWN_FACTS = f"""WITH {views.FACTS} SELECT owner, fact_id, value FROM v_fact
+WHERE valid_from <= TIMESTAMP '1995-03-15' AND (valid_to IS NULL OR valid_to > TIMESTAMP '1995-03-15')
+  AND valid_from + INTERVAL 2 DAY <= TIMESTAMP '1995-03-16' AND (valid_to IS NULL OR valid_to + INTERVAL 2 DAY > TIMESTAMP '1995-03-16')"""
+
+
+def accepted_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations from suppliers to parts, accepted unless returned, as known at a time: each is recorded when it ships, and
+    closed 60 days later."""
+    li = views.read(spark, sf_dir, "lineitem").where("l_returnflag <> 'R'").withColumn("closed", F.col("l_shipdate") + F.expr("INTERVAL 60 DAYS"))
+    seen = li.where(temporal.visible_at(F.lit("1995-03-01").cast("timestamp"), "l_shipdate", "closed"))
+    id = F.concat_ws("@", F.concat(F.lit("relation:"), F.col("l_orderkey").cast("string")), F.col("l_linenumber").cast("string"))
+    return seen.select(id.alias("id"), F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_linestatus").alias("kind"))
+
+
+ACCEPTED_EDGES = """SELECT 'relation:' || l_orderkey || '@' || l_linenumber AS id, l_suppkey AS src, l_partkey AS dst, l_linestatus AS kind FROM lineitem
+WHERE l_returnflag <> 'R' AND l_shipdate <= TIMESTAMP '1995-03-01' AND l_shipdate + INTERVAL 60 DAY > TIMESTAMP '1995-03-01'"""
+
+
+def temporal_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment and closeness of every fact to questions on a day, whose mode is that of its share."""
+    rows = views.facts(spark, sf_dir)
+    mode = F.when(F.col("share") == "never", "history").when(F.col("share") == "local-only", "current").otherwise("all")
+    days = F.abs(F.datediff(F.lit("1995-06-30").cast("date"), F.col("valid_from").cast("date"))).cast("double")
+    aligned = scores.temporal_alignment(mode, F.col("valid_to").isNotNull())
+    return rows.select("fact_id", aligned.alias("alignment"), F.round(scores.temporal_closeness(aligned, days), 6).alias("closeness"))
+
+
+TEMPORAL_SCORES = f"""WITH {views.FACTS},
+a AS (SELECT fact_id, abs(date_diff('day', CAST(valid_from AS DATE), DATE '1995-06-30')) AS d, CASE share WHEN 'never' THEN CASE WHEN valid_to IS NOT NULL THEN 1.0 ELSE 0.2 END
+  WHEN 'local-only' THEN CASE WHEN valid_to IS NOT NULL THEN 0.0 ELSE 1.0 END ELSE 0.7 END AS al FROM v_fact)
+SELECT fact_id, CAST(al AS DOUBLE) AS alignment, round(CAST(0.7 AS DOUBLE) * al + CAST(0.3 AS DOUBLE) / (1 + d / CAST(365 AS DOUBLE)), 6) AS closeness FROM a"""
+
+
+def sentence_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages that are one sentence but for case, spaces and their final signs."""
+    rows = views.episodes(spark, sf_dir).withColumn("key", F.sha2(text.sentence_key("content"), 256))
+    return rows.groupBy("key").agg(F.count("*").alias("messages"), F.min("episode_id").alias("first_id"))
+
+
+SENTENCE_KEYS = rf"""WITH {views.EPISODES}
+SELECT sha256(regexp_replace(trim(regexp_replace(lower(coalesce(content, '')), '\s+', ' ', 'g')), '[.!?。！？]+$', '')) AS key, count(*) AS messages, min(episode_id) AS first_id FROM v_episode GROUP BY 1"""
+
+
+def margin_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calibration.margin_thresholds(views.samples(spark, sf_dir), ["cohort"])
+
+
+MARGIN_THRESHOLDS = f"""WITH f AS ({analysis.THRESHOLD_FIT.replace("2.0 * fp", "3.0 * fp")}), {views.SAMPLES},
+e AS (SELECT cohort, min(score) FILTER (relevant) AS low, max(score) FILTER (NOT relevant) AS high FROM v_sample GROUP BY cohort)
+SELECT cohort, CASE WHEN coalesce(high < low, false) THEN (low + high) / 2 ELSE threshold END AS threshold, coalesce(high < low, false) AS clean FROM f JOIN e USING (cohort)"""
+
+
+def tier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.tier_assign(spark, sf_dir).groupBy("owner", "tier").agg(F.count("*").alias("facts"))
+
+
+TIER_COUNTS = f"WITH t AS ({lifecycle.TIER_ASSIGN}) SELECT owner, tier, count(*) AS facts FROM t GROUP BY ALL"
+
+
+def requirement_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.episodes(spark, sf_dir)
+    return rows.select("episode_id", F.array_join(F.sort_array(text.requirement_tokens("content")), " ").alias("tokens"), F.size(text.feedback_tokens("content")).alias("feedback"), text.is_broad("content").alias("broad"))
+
+
+def _pairs_sql(runs: str) -> str:
+    return f"flatten(list_transform({runs}, lambda r: list_transform(generate_series(1, length(r) - 1), lambda i: substring(r, i, 2))))"
+
+
+_STOPS = ", ".join(f"'{s}'" for s in text.REQUIREMENT_STOPS)
+_HAN = r"regexp_extract_all(t, '[\x{3400}-\x{9fff}]{2,}')"
+REQUIREMENT_TOKENS = f"""WITH {views.EPISODES}, l AS (SELECT episode_id, lower(coalesce(content, '')) AS t FROM v_episode)
+SELECT episode_id, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(t, '[a-z0-9][a-z0-9._-]+') || {_HAN} || {_pairs_sql(_HAN)}), lambda x: x NOT IN ({_STOPS}))), ' ') AS tokens,
+  CAST(len(list_distinct(regexp_extract_all(t, '[a-z0-9@._+-]{{2,}}') || {_pairs_sql(_HAN)})) AS INTEGER) AS feedback, regexp_matches(t, '{"|".join(text.BROAD_PATTERNS)}') AS broad FROM l"""
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        shard_members, tier_budgets, bounded_history, feedback_status, label_states, review_confirmation, feedback_purge, claim_keys, summary_drilldown, expired_facts, known_facts, accepted_edges, temporal_scores,
+        sentence_keys, margin_thresholds, tier_counts, requirement_tokens,
+    )
+}
 ORACLES = {name: globals()[name.upper()] for name in QUERIES}
