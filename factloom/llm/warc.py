@@ -6,10 +6,15 @@ the SHA-256 of the payload up to its end. Neither holds a whole record. Every ta
 folder that driver and executors share, under a name that no other attempt uses; the manifest, written once from the
 tasks that succeeded, says which files count. Payloads that occur again are revisit records without payload.
 
+Which payloads occur again is decided on ids and digests alone. Their digests are met by broadcast while they are few,
+which is counted first, so that payloads stay where they were read; beyond that by a join in which a digest with many
+rows is met in many places.
+
 Defined results: a null payload is empty; equal payloads under `least` bytes are all responses; of others the smallest
 id is the response, and rows that repeat this id are responses too; rows with a null id never are the one referred to;
-a null url is left out of the record's header, and line ends in urls become spaces; an empty table gives no files and
-no rows. Other columns aren't read.
+a null url is left out of the record's header, and line ends in urls become spaces; each record has an id of its own,
+rows that repeat too, so that a revisit names its response by its url, its page and the payload's digest; an empty table
+gives no files and no rows. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -26,11 +31,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import scratch_path, stored, table
+from factloom.llm.common import scratch_path, spread_join, stored, table
 
 CHUNK, LEAST = 65_536, 100
-#: Rows of a payload that occurs often meet its first id in so many places.
-SALTS = 16
+#: Digests that are broadcast at most (about 100 bytes each), and rows with one digest that one task meets beyond that.
+FEW, SPREAD = 250_000, 2_000
 #: Bytes of chunks that a reading task hands over at once.
 HANDED = 8_000_000
 CHUNKS = "record_id string, page_id long, record_type string, refers_to long, url string, chunk_no int, last boolean, bytes_so_far long, digest_so_far string, payload_bytes long, payload_digest string, chunk binary"
@@ -41,17 +46,20 @@ ARROW = pa.schema(
 
 
 def decided(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", least: int = LEAST) -> DataFrame:
-    """(id, url, payload, bytes, digest, record_type, refers_to) for every row: which record is a response, and which a revisit."""
+    """(id, url, payload, bytes, digest, record_type, refers_to, refers_url) for every row: which record is a response, and
+    which a revisit."""
     body = F.encode(F.coalesce(F.col(payload), F.lit("")), "utf-8")
     rows = pages.select(F.col(key).alias("id"), F.col(url).alias("url"), body.alias("payload"))
     rows = rows.withColumns({"bytes": F.octet_length("payload").cast("long"), "digest": F.sha2("payload", 256)})
-    firsts = rows.where(F.col("bytes") >= least).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    salted = firsts.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    met = rows.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"], "left")
-    again = F.col("first").isNotNull() & ~F.coalesce(F.col("id") == F.col("first"), F.lit(False)) & (F.col("bytes") >= least)
+    known = F.when(F.col("id").isNotNull(), F.struct("id", "url"))
+    firsts = rows.where(F.col("bytes") >= least).groupBy("digest").agg(F.min(known).alias("first"), F.count("*").alias("n")).where("n > 1")
+    firsts = stored(firsts, "warc-firsts")
+    met = rows.join(F.broadcast(firsts.drop("n")), "digest", "left") if firsts.count() <= FEW else spread_join(rows, firsts, ["digest"], SPREAD)
+    again = F.col("first").isNotNull() & ~F.coalesce(F.col("id") == F.col("first.id"), F.lit(False)) & (F.col("bytes") >= least)
     return met.select(
-        "id", "url", "payload", "bytes", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to")
-    )
+        "id", "url", "payload", "bytes", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"),
+        F.when(again, F.col("first.id")).alias("refers_to"), F.when(again, F.col("first.url")).alias("refers_url"),
+    )
 
 
 def chunked(payload: Column, size: int) -> Column:
@@ -60,8 +68,7 @@ def chunked(payload: Column, size: int) -> Column:
     return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(payload, i * size + 1, F.lit(size)))
 
 
-def record_id(key: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{key}')}>"
+DATE = "1970-01-01T00:00:00Z"
 
 
 def _header(row: dict) -> bytes:
@@ -69,8 +76,8 @@ def _header(row: dict) -> bytes:
     lines = [
         "WARC/1.1",
         f"WARC-Type: {row['record_type']}",
-        f"WARC-Record-ID: {record_id(row['id'])}",
-        "WARC-Date: 1970-01-01T00:00:00Z",
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>",
+        f"WARC-Date: {DATE}",
         "Content-Type: text/html; charset=utf-8",
         f"WARC-Payload-Digest: sha256:{row['digest']}",
         f"X-Payload-Length: {row['bytes']}",
@@ -81,7 +88,9 @@ def _header(row: dict) -> bytes:
     if row["url"] is not None:
         lines.append("WARC-Target-URI: " + " ".join(row["url"].splitlines()))
     if revisit:
-        lines += [f"WARC-Refers-To: {record_id(row['refers_to'])}", f"X-Refers-To-Page: {row['refers_to']}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        lines += [f"WARC-Refers-To-Date: {DATE}", f"X-Refers-To-Page: {row['refers_to']}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        if row["refers_url"] is not None:
+            lines.append("WARC-Refers-To-Target-URI: " + " ".join(row["refers_url"].splitlines()))
     return "\r\n".join(lines).encode("utf-8", "replace") + b"\r\n\r\n"
 
 
@@ -89,7 +98,7 @@ def write_archives(records: DataFrame, folder: str, chunk: int = CHUNK) -> DataF
     """Writes rows of decided() into .warc.gz files below folder; the manifest: (path, records) of the files that count."""
     kept = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
     rows = records.withColumn("chunks", chunked(kept, chunk)).select(
-        "id", "url", "bytes", "digest", "record_type", "refers_to", (F.size("chunks") - 1).alias("last"), F.posexplode("chunks").alias("chunk_no", "chunk")
+        "id", "url", "bytes", "digest", "record_type", "refers_to", "refers_url", (F.size("chunks") - 1).alias("last"), F.posexplode("chunks").alias("chunk_no", "chunk")
     )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,7 +32,10 @@ def pages(spark, rows):
     return spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, digest string")
 
 
-def test_query_equals_brute_force(spark, tmp_path):
+@pytest.mark.parametrize("few", [0, 10])
+def test_query_equals_brute_force(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(w, "FEW", few)
+    monkeypatch.setattr(w, "SPREAD", 2)
     pages(spark, ROWS).repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
     assert sorted(map(tuple, w.op9_warc(spark, str(tmp_path)).collect()), key=str) == brute(ROWS)
 
@@ -54,6 +57,12 @@ def test_round_trip_of_chunks(spark):
     assert whole[1, "response", "http://a X: y"]
 
 
+def test_record_ids_are_unique_where_page_ids_repeat(spark):
+    rows = [(i, u, t) for i, u, t in ROWS for _ in range(3)]
+    ends = w.read_archives(w.write_archives(w.decided(pages(spark, rows)), scratch_path(spark, "warc-ids"))).where("last").collect()
+    assert len(ends) == len(rows) == len({r.record_id for r in ends})
+
+
 def test_damage_is_an_error():
     record = w._header({"id": 1, "url": "u", "bytes": 5, "digest": hashlib.sha256(b"hello").hexdigest(), "record_type": "response", "refers_to": None})
     list(w.read_records(io.BytesIO(record + b"hello\r\n\r\n")))
