@@ -6,8 +6,9 @@ the word alone, so that a worker keeps the scores of words that it has met. Tran
 with them. Words are labelled by forward-backward over whole texts. A text's language is the one with the highest mean
 probability over its words, and that mean is its score; runs of words with one label are given beside it.
 
-Training takes a bounded sample of the texts with a known language, whole, on the driver: `rows_per_language` of the
-smallest key hashes of each language, the only bound here.
+Training takes a bounded sample of the texts with a known language and a letter, whole, on the driver: of each language
+the `rows_per_language` rows with the smallest hashes of key and text, of at most LONGEST characters where it has such.
+That is the only bound here: 160 texts of 100,000 characters are 16 million characters a language at most.
 Sequences for training are spliced from snippets of one to several languages, so that switches between languages occur
 and their cost is learned. Only the fit is bounded; every text is labelled whole.
 
@@ -24,7 +25,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.common import fresh, held_out, mix64, table, text_runs
@@ -32,6 +33,8 @@ from factloom.llm.common import fresh, held_out, mix64, table, text_runs
 BITS, ROWS_PER_LANGUAGE = 18, 160
 WORD = regex.compile(r"\p{L}+")
 UNKNOWN = "und"
+#: Characters of a text of the training sample, where a language has texts as short.
+LONGEST = 100_000
 #: Words of a long text that advance as one piece, and words whose scores a worker keeps.
 PIECE, KEPT = 128, 400_000
 
@@ -270,22 +273,22 @@ def _expected(emit: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, fi
 
 def train_languages(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", *, rows_per_language: int = ROWS_PER_LANGUAGE) -> Crf:
     """Fits on a bounded sample of the rows with a language whose key is not held out, on whole texts."""
-    known = docs.where(F.col(lang).isNotNull() & ~held_out(key)).withColumn("_hash", F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 40)))
-    counts = known.groupBy(F.col(lang).alias("_lang")).count()
-    # rows under a hash bound, so many that nearly always enough of a language have a text; the driver takes the first of
-    # them. Languages are the states of the model, which the driver holds: their counts fit it too.
-    shares = {r["_lang"]: min(1.0, 1.2 * rows_per_language / r["count"]) for r in counts.collect()}
-    if not shares:
+    rows = docs.where(F.col(lang).isNotNull() & ~held_out(key) & F.col(text).rlike(r"\p{L}"))
+    rows = rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(1 << 40)).alias("hash"), (F.length(text) <= LONGEST).alias("short"))
+    # languages are the states of the model, which the driver holds: their counts fit it too
+    counts = rows.groupBy("lang").agg(F.count_if("short").alias("short"), F.count("*").alias("n")).collect()
+    if not counts:
         return fit_crf([])
-    bound = F.element_at(F.create_map(*(F.lit(x) for pair in shares.items() for x in pair)), F.col(lang))
-    picked = known.where(F.col("_hash") < bound * F.lit(float(1 << 40))).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), "_hash").toArrow()
-    sample, seen = [], {}
-    for _, lang_, text_ in sorted(zip(picked["_hash"].to_pylist(), picked["lang"].to_pylist(), picked["text"].to_pylist(), strict=True), key=lambda r: (r[0], r[1], r[2] or "")):
-        words = WORD.findall((text_ or "").lower())
-        if words and seen.get(lang_, 0) < rows_per_language:
-            seen[lang_] = seen.get(lang_, 0) + 1
-            sample.append((words, lang_))
-    return fit_crf(sample)
+    # rows under a hash bound, so many that nearly always enough of a language come; of those the first by hash
+    bound = {r["lang"]: min(1.0, 1.2 * rows_per_language / (r["short"] or r["n"])) for r in counts}
+    long = [r["lang"] for r in counts if not r["short"]]
+    bounds = F.element_at(F.create_map(*(F.lit(x) for pair in bound.items() for x in pair)), F.col("lang"))
+    fits = F.col("short") | F.col("lang").isin(long) if long else F.col("short")
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "text"))
+    picked = rows.where(fits & (F.col("hash") < bounds * F.lit(float(1 << 40)))).withColumn("n", first).where(F.col("n") <= rows_per_language)
+    picked = picked.select("lang", "text", "hash").toArrow()
+    sample = sorted(zip(picked["hash"].to_pylist(), picked["lang"].to_pylist(), picked["text"].to_pylist(), strict=True))
+    return fit_crf([(words, lang_) for _, lang_, text_ in sample if (words := WORD.findall(text_.lower()))])
 
 
 def label_languages(docs: DataFrame, model: Crf, text: str = "text") -> DataFrame:

@@ -99,3 +99,16 @@ def test_odd_documents(odd_docs, no_docs):
     none = g.train_languages(no_docs)
     assert {r.lang_pred for r in g.label_languages(odd_docs, none).collect()} == {"und"}
     assert g.label_languages(no_docs, m).count() == 0
+
+
+def test_the_sample_is_bounded_and_of_texts_with_letters(spark, monkeypatch):
+    monkeypatch.setattr(g, "LONGEST", 200)
+    taken = []
+    monkeypatch.setattr(g, "fit_crf", lambda rows: taken.extend(rows) or "model")
+    rng = random.Random(6)
+    rows = [(7, texts(rng, "xx", 5), "xx")] * 500 + [(7, texts(rng, "xx", 5), "xx") for _ in range(300)] + [(i, None, "xx") for i in range(4000)] + [(i, "123", "yy") for i in range(3000)]
+    rows += [(i, texts(rng, "yy", 4), "yy") for i in range(40)] + [(i, "kesto " * 100, "yy") for i in range(40)] + [(i, "salu " * 100, "zz") for i in range(40)]
+    assert g.train_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows_per_language=10) == "model"
+    by = {lang: [w for w, x in taken if x == lang] for lang in ("xx", "yy", "zz")}
+    assert all(5 <= len(by[k]) <= 10 for k in ("yy", "zz")) and len(by["xx"]) <= 10
+    assert all(w and len(w) < 100 for w in by["yy"]) and all(len(w) == 100 for w in by["zz"])
