@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# English function words that evidence tokens leave out.
-STOP_WORDS = ("a", "an", "and", "are", "at", "for", "in", "is", "it", "my", "of", "on", "or", "that", "the", "to", "was", "what", "with")
+# Words of questions that evidence tokens leave out.
+STOP_WORDS = ("a", "an", "and", "are", "do", "does", "i", "is", "me", "my", "of", "please", "tell", "the", "to", "user", "what", "you", "your")
 
 # Own pattern lists for credentials, instruction injection and personal data, in a dialect that both
 # engines read.

@@ -69,9 +69,15 @@ def purged_reviews(reviews: DataFrame, by: list[str], erased: DataFrame) -> Data
 
 
 def claim_key(scope: Column, predicate: Column, arguments: dict[str, Column]) -> Column:
-    """Identity of a claim: scope, predicate and its arguments in the order of their roles, hashed."""
-    typed = [F.concat_ws("=", F.lit(role), value.cast("string")) for role, value in sorted(arguments.items())]
-    return F.sha2(F.concat_ws("|", scope, predicate, *typed), 256)
+    """Identity of a claim: scope, predicate and its arguments in the order of their roles, each with its length before it,
+    so that no sign in a part can stand for a border; a null part is told from an empty one. Hashed."""
+
+    def part(value: Column) -> Column:
+        text = value.cast("string")
+        return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+    parts = [scope, predicate, *(x for role, value in sorted(arguments.items()) for x in (F.lit(role), value))]
+    return F.sha2(F.concat(*map(part, parts)), 256)
 
 
 def drilled_down(summaries: DataFrame, links: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from factloom.streaming import jobs
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.operators.lexical import top_per
 
-    top = top_per(retrieval._bm25(spark, sf_dir), ["query_id"], 60, F.desc("score"), F.asc("id")).select("query_id", "id", "score")
+    top = top_per(retrieval._bm25(spark, sf_dir), ["query_id"], selection.MOST, F.desc("score"), F.asc("id")).select("query_id", "id", "score")
     docs = views.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array_distinct(text.word_tokens("text")).alias("tokens"), F.col("n_chars").cast("int").alias("chars"))
     return top.join(docs, "id")
 
@@ -35,22 +35,23 @@ def evidence_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def payload_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Extraction payloads made from the documents: their first words as mentions, some with wrong spans or scores."""
-    docs = views.read(spark, sf_dir, "documents").where("length(text) >= 20")
-    start = F.col("doc_id") % 7
-    word = F.substring(F.col("text"), (start + 1).cast("int"), F.lit(6))
+    """Extraction payloads made from all documents, and their mentions one by one: the first Latin word of each text at its
+    place, some with another text or a score out of range; a text without one has a mention that lies nowhere."""
+    docs = views.read(spark, sf_dir, "documents")
+    word = F.regexp_extract(F.coalesce("text", F.lit("")), "[A-Za-z]+", 0)
+    start = F.when(word == "", -1).otherwise(F.instr("text", word) - 1)
     item = F.struct(
-        F.lit("m1").alias("id"), F.when(F.col("doc_id") % 2 == 0, "Person").otherwise("Place").alias("type"), F.when(F.col("doc_id") % 11 == 0, F.lit("wrong!")).otherwise(word).alias("text"),
-        start.alias("start"), (start + 6).alias("end"), F.when(F.col("doc_id") % 13 == 0, 1.5).otherwise((F.col("doc_id") % 10) / 10.0).alias("score"),
+        F.lit("m1").alias("id"), F.when(F.col("doc_id") % 2 == 0, "Person").otherwise("Place").alias("type"), F.when(F.col("doc_id") % 11 == 0, F.concat(word, F.lit("!"))).otherwise(word).alias("text"),
+        start.alias("start"), (start + F.length(word)).alias("end"), F.when(F.col("doc_id") % 13 == 0, 1.5).otherwise((F.col("doc_id") % 10) / 10.0).alias("score"),
     )
     payload = F.to_json(F.struct(F.array(item).alias("entities")))
-    out = snapshots.flattened_payload(docs.withColumn("payload", payload), "doc_id", F.col("payload"), F.col("text"))
-    return out.groupBy("type", "reason").agg(F.count("*").alias("n"), F.round(F.sum("score"), 4).alias("total"), F.min("doc_id").alias("first_id"))
+    return snapshots.flattened_payload(docs.withColumn("payload", payload), "doc_id", F.col("payload"), F.col("text"))
 
 
-PAYLOAD_FLATTEN = """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Person' ELSE 'Place' END AS type, CASE WHEN doc_id % 11 = 0 AND substring(text, CAST(doc_id % 7 + 1 AS INTEGER), 6) <> 'wrong!' THEN 'span' WHEN doc_id % 13 = 0 THEN 'score' END AS reason,
-  CASE WHEN doc_id % 13 = 0 THEN 1.5 ELSE (doc_id % 10) / 10.0 END AS score FROM documents WHERE length(text) >= 20)
-SELECT type, reason, count(*) AS n, round(sum(score), 4) AS total, min(doc_id) AS first_id FROM d GROUP BY type, reason"""
+PAYLOAD_FLATTEN = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract(coalesce(text, ''), '[A-Za-z]+') AS word FROM documents),
+e AS (SELECT doc_id, word, CASE WHEN word = '' THEN -1 ELSE strpos(t, word) - 1 END AS start FROM d)
+SELECT doc_id, 0 AS pos, CASE WHEN doc_id % 2 = 0 THEN 'Person' ELSE 'Place' END AS type, CASE WHEN doc_id % 11 = 0 THEN word || '!' ELSE word END AS text, start, start + length(word) AS end,
+  CASE WHEN doc_id % 13 = 0 THEN 1.5 ELSE (doc_id % 10) / 10.0 END AS score, CASE WHEN word = '' OR doc_id % 11 = 0 THEN 'span' WHEN doc_id % 13 = 0 THEN 'score' END AS reason FROM e"""
 
 
 def segment_documents(spark: SparkSession, sf_dir: str, size: int = 1800) -> DataFrame:

@@ -309,16 +309,22 @@ x AS (SELECT owner, episode_id, CAST(row_number() OVER w AS INTEGER) AS place, C
 SELECT * FROM x WHERE place <= 6 AND chars <= 2400"""
 
 
+# Words that say nothing of a topic.
+TOPIC_STOPS = ("我们", "你们", "他们", "这个", "那个", "什么", "怎么", "可以", "就是", "还是", "please", "about", "that", "this", "with")
+
+
 def topic_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight most frequent words of four or more letters of each conversation, ties by word."""
-    words = views.episodes(spark, sf_dir).select("owner", F.explode(text.word_tokens("content")).alias("term")).where("length(term) >= 4")
+    """Eight most frequent terms of each conversation, without TOPIC_STOPS, ties by term: Latin words of three or more signs
+    that begin with a letter, and Han runs of two to six."""
+    terms = F.regexp_extract_all(F.lower(F.coalesce("content", F.lit(""))), F.lit(r"\p{IsHan}{2,6}|[a-z][a-z0-9+#.-]{2,}"), 0)
+    words = views.episodes(spark, sf_dir).select("owner", F.explode(terms).alias("term")).where(~F.col("term").isin(*TOPIC_STOPS))
     counted = words.groupBy("owner", "term").agg(F.count("*").alias("n"))
     return counted.withColumn("rank", F.row_number().over(maintenance.Window.partitionBy("owner").orderBy(F.desc("n"), "term"))).where("rank <= 8")
 
 
 TOPIC_TERMS = f"""WITH {views.EPISODES},
-t AS (SELECT owner, unnest(regexp_extract_all(lower(coalesce(content, '')), '[a-z0-9]+')) AS term FROM v_episode),
-c AS (SELECT owner, term, count(*) AS n FROM t WHERE length(term) >= 4 GROUP BY ALL)
+t AS (SELECT owner, unnest(regexp_extract_all(lower(coalesce(content, '')), '\\p{{Han}}{{2,6}}|[a-z][a-z0-9+#.-]{{2,}}')) AS term FROM v_episode),
+c AS (SELECT owner, term, count(*) AS n FROM t WHERE term NOT IN {TOPIC_STOPS} GROUP BY ALL)
 SELECT owner, term, n, CAST(row_number() OVER (PARTITION BY owner ORDER BY n DESC, term) AS INTEGER) AS rank FROM c QUALIFY rank <= 8"""
 
 QUERIES = {

@@ -107,7 +107,7 @@ def claim_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CLAIM_KEYS = f"""WITH {views.CLAIMS}
-SELECT sha256('shared|' || predicate || '|object=' || object || '|subject=' || subject) AS claim_key, count(*) AS claims, count(*) FILTER (polarity = 'positive') AS positive, min(id) AS first_id
+SELECT sha256('6:shared' || length(predicate) || ':' || predicate || '6:object' || length(CAST(object AS VARCHAR)) || ':' || object || '7:subject' || length(CAST(subject AS VARCHAR)) || ':' || subject) AS claim_key, count(*) AS claims, count(*) FILTER (polarity = 'positive') AS positive, min(id) AS first_id
 FROM v_claim GROUP BY 1"""
 
 

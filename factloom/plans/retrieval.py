@@ -9,7 +9,8 @@ from factloom.functions import scores, text
 from factloom.operators import evaluation, fusion, lexical, vectors
 from factloom.plans import views
 
-K = 5
+#: Rows of a result, and of a route that is fused or scored again.
+K, WINDOW = 5, 100
 
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +101,7 @@ def _routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two rankings of documents for every phrase: BM25 over all, and BM25 over active documents (those of even id, which
     stand in for a state). A third route, shared rare words, is missing."""
     def ranked(df: DataFrame, name: str) -> DataFrame:
-        return lexical.top_per(df, ["query_id"], 50, F.desc("score"), F.asc("id")).select("query_id", "id", F.lit(name).alias("route"), "rank")
+        return lexical.top_per(df, ["query_id"], WINDOW, F.desc("score"), F.asc("id")).select("query_id", "id", F.lit(name).alias("route"), "rank")
 
     index = _index(spark, sf_dir)
     every, active = _bm25(spark, sf_dir, index=index), _bm25(spark, sf_dir, "active", index)
@@ -118,7 +119,7 @@ ranked AS (
   SELECT query_id, id, 'all' AS route, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bm
   UNION ALL SELECT query_id, id, 'active', row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) FROM bm2
 ), fused AS (
-  SELECT query_id, id, sum(1.0 / (60.0 + rank)) AS f, count(*) AS routes FROM ranked WHERE rank <= 50 GROUP BY query_id, id
+  SELECT query_id, id, sum(1.0 / (60.0 + rank)) AS f, count(*) AS routes FROM ranked WHERE rank <= 100 GROUP BY query_id, id
 ), rel AS (
   SELECT query_id, id, round(f, 9) AS fused, round(f / max(f) OVER (PARTITION BY query_id), 6) AS relative, routes FROM fused
 )"""
@@ -132,7 +133,7 @@ def _linear(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("id"), F.least(F.lit(1.0), F.col("n_chars") / 5000.0).alias("importance"), F.pow(F.lit(0.5), (F.col("doc_id") % 365) / 240.0).alias("recency"), scores.frequency(F.col("doc_id") % 21).alias("frequency")
     )
     bm = _bm25(spark, sf_dir).withColumn("lexical", scores.squashed(F.col("score") / 10))
-    top = lexical.top_per(bm, ["query_id"], 50, F.desc("score"), F.asc("id")).select("query_id", "id", "lexical")
+    top = lexical.top_per(bm, ["query_id"], WINDOW, F.desc("score"), F.asc("id")).select("query_id", "id", "lexical")
     value = fusion.weighted_linear(F.lit(0.0), F.col("lexical"), F.col("importance"), F.col("recency"), F.col("frequency"), F.lit(0.7))
     return top.join(features, "id").select("query_id", "id", F.round(value, 6).alias("score"))
 
@@ -145,7 +146,7 @@ _LINEAR = f"""{_bm25_sql()},
 top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM bm),
 lin AS (
   SELECT query_id, id, round(0.2 * (1 - exp(-score / 10)) + 0.14 * least(1.0, n_chars / 5000.0) + 0.08 * pow(0.5, (doc_id % 365) / 240.0) + 0.04 * least(1.0, ln(1 + doc_id % 21) / ln(21.0)) + 0.14 * 0.7, 6) AS score
-  FROM top JOIN documents ON id = doc_id WHERE n <= 50
+  FROM top JOIN documents ON id = doc_id WHERE n <= 100
 )"""
 WEIGHTED_LINEAR = f"""WITH {_LINEAR}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM lin)
 SELECT query_id, id, rank, score FROM r WHERE rank <= 10"""
