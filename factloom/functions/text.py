@@ -44,18 +44,17 @@ def sentence_key(c: Column | str) -> Column:
 
 
 def lexical_tokens(c: Column | str) -> Column:
-    """w: words of [a-z0-9], c: Han characters, b: pairs of neighbouring Han characters; duplicates stay."""
+    """w: words of [a-z0-9], c: Han characters, b: pairs of Han characters that follow one another, whatever stands between;
+    duplicates stay."""
     text = _text(c)
     words = F.transform(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0), lambda w: F.concat(F.lit("w:"), w))
-    runs = F.regexp_extract_all(text, F.lit(r"\p{IsHan}+"), 0)
-    single = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r)), lambda i: F.concat(F.lit("c:"), F.substring(r, i, F.lit(1))))))
-    pairs = F.flatten(
-        F.transform(
-            F.filter(runs, lambda r: F.length(r) > 1),
-            lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.concat(F.lit("b:"), F.substring(r, i, F.lit(2)))),
-        )
-    )
-    return F.concat(words, single, pairs)
+    han = F.regexp_replace(text, r"[^\x{3400}-\x{9fff}]", "")
+
+    def parts(mark: str, size: int) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.length(han) - size + 1), lambda i: (i > 0) & (i <= F.length(han) - size + 1))
+        return F.transform(starts, lambda i: F.concat(F.lit(mark), F.substring(han, i, F.lit(size))))
+
+    return F.concat(words, parts("c:", 1), parts("b:", 2))
 
 
 def word_tokens(c: Column | str) -> Column:
@@ -104,19 +103,30 @@ def fnv1a32(c: Column | str) -> Column:
     return F.aggregate(codes, F.lit(2166136261).cast("bigint"), lambda h, x: (h.bitwiseXOR(x) * F.lit(16777619)).bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
-def hashed_terms(c: Column | str, dims: int = 384) -> Column:
-    """Signed buckets of words, of character triples of words of four or more letters, and of Han characters and pairs:
-    array of (dim, sign), one for each occurrence; their sums by dim, unit-scaled, are the hashed embedding."""
-    words = word_tokens(c)
+#: Occurrences that one tag counts for in a hashed embedding.
+TAG_WEIGHT = 5
+
+
+def feature_terms(c: Column | str, tags: Column | None = None) -> Column:
+    """What a hashed embedding counts, with repeats: lexical_tokens, g: the character triples of words of four or more
+    letters, and s: tags, each TAG_WEIGHT times."""
     triples = F.flatten(
         F.transform(
-            F.filter(words, lambda w: F.length(w) >= 4),
+            F.filter(word_tokens(c), lambda w: F.length(w) >= 4),
             lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.concat(F.lit("g:"), F.substring(w, i, F.lit(3)))),
         )
     )
     terms = F.concat(lexical_tokens(c), triples)
+    if tags is None:
+        return terms
+    return F.concat(terms, F.flatten(F.transform(tags, lambda t: F.array_repeat(F.concat(F.lit("s:"), t), TAG_WEIGHT))))
+
+
+def hashed_terms(c: Column | str, dims: int = 384, tags: Column | None = None) -> Column:
+    """Signed buckets of feature_terms: array of (dim, sign), one for each occurrence; their sums by dim, unit-scaled, are the
+    hashed embedding."""
     return F.transform(
-        F.transform(terms, fnv1a32),
+        F.transform(feature_terms(c, tags), fnv1a32),
         lambda h: F.struct((h % dims).cast("int").alias("dim"), F.when(h.bitwiseAND(F.lit(0x80000000)) != 0, -1).otherwise(1).alias("sign")),
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.text import stable_id
-from factloom.operators.graph import cut
+from factloom.operators.tables import cut
 
 #: The status that each command leaves; an edit keeps it.
 AFTER = {"suppress": "suppressed", "delete": "deleted", "purge": "purged", "restore": "active", "archive": "archived"}

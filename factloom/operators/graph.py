@@ -5,20 +5,10 @@ spark.checkpoint.dir, and the driver sees counts only."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint; a local session without a folder gets one of its own."""
-    context = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
-        if not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-factloom-"))
-    return df.checkpoint()
+from factloom.operators.tables import cut
 
 
 def neighbours(edges: DataFrame, direction: str = "both", symmetric: tuple[str, ...] = ()) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.text import lexical_tokens
-from factloom.operators.graph import cut
+from factloom.operators.tables import kept
 
 K1, B = 1.2, 0.75
 
@@ -25,8 +25,9 @@ def postings(docs: DataFrame, tokens: Callable[[str], Column] = lexical_tokens)
 
 
 def index(docs: DataFrame, tokens: Callable[[str], Column] = lexical_tokens) -> DataFrame:
-    """The postings of docs, computed once and kept in the shared folder, for several modes and statistics to read."""
-    return cut(postings(docs, tokens))
+    """The postings of docs, computed once and kept in the shared folder as a table sorted by token, for several modes and
+    statistics to read."""
+    return kept(postings(docs, tokens), "postings", "token")
 
 
 def shard_statistics(docs: DataFrame, mode: str, index: DataFrame) -> DataFrame:
@@ -41,7 +42,7 @@ def shard_statistics(docs: DataFrame, mode: str, index: DataFrame) -> DataFrame:
 def bm25(queries: DataFrame, docs: DataFrame, mode: str = "all", tokens: Callable[[str], Column] = lexical_tokens, k1: float = K1, b: float = B, *, index: DataFrame | None = None) -> DataFrame:
     """queries (query_id, text) x docs (shard, doc_id, text, active) -> (query_id, shard, doc_id, score), in every shard.
     index: of docs, if there is one. Mode `active` counts and returns active documents only."""
-    posted = cut(postings(docs, tokens)) if index is None else index
+    posted = kept(postings(docs, tokens), "postings", "token") if index is None else index
     stats = shard_statistics(docs, mode, posted)
     posted = posted.where("active") if mode == "active" else posted
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens("text"))).alias("token"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from factloom.plans import analysis, commands, gates, jobs, lifecycle, linking, messages, recall, retrieval, writes
+from factloom.plans import analysis, commands, gates, hybrid, jobs, lifecycle, linking, messages, recall, retrieval, writes
 
-_PARTS = (retrieval, lifecycle, analysis, writes, linking, commands, recall, gates, messages, jobs)
+_PARTS = (retrieval, lifecycle, analysis, writes, linking, commands, recall, gates, messages, hybrid, jobs)
 QUERIES: dict = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

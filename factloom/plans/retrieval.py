@@ -127,12 +127,12 @@ RRF_FUSION = f"""WITH {_ROUTES}, r AS (SELECT *, CAST(row_number() OVER (PARTITI
 SELECT query_id, id, fused, relative, routes, rank FROM r WHERE rank <= 10"""
 
 
-def _linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _linear(spark: SparkSession, sf_dir: str, index: DataFrame | None = None) -> DataFrame:
     docs = views.read(spark, sf_dir, "documents")
     features = docs.select(
         F.col("doc_id").alias("id"), F.least(F.lit(1.0), F.col("n_chars") / 5000.0).alias("importance"), F.pow(F.lit(0.5), (F.col("doc_id") % 365) / 240.0).alias("recency"), scores.frequency(F.col("doc_id") % 21).alias("frequency")
     )
-    bm = _bm25(spark, sf_dir).withColumn("lexical", scores.squashed(F.col("score") / 10))
+    bm = _bm25(spark, sf_dir, index=index).withColumn("lexical", scores.squashed(F.col("score") / 10))
     top = lexical.top_per(bm, ["query_id"], WINDOW, F.desc("score"), F.asc("id")).select("query_id", "id", "lexical")
     value = fusion.weighted_linear(F.lit(0.0), F.col("lexical"), F.col("importance"), F.col("recency"), F.col("frequency"), F.lit(0.7))
     return top.join(features, "id").select("query_id", "id", F.round(value, 6).alias("score"))
@@ -152,13 +152,14 @@ WEIGHTED_LINEAR = f"""WITH {_LINEAR}, r AS (SELECT *, CAST(row_number() OVER (PA
 SELECT query_id, id, rank, score FROM r WHERE rank <= 10"""
 
 
-def _relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _relevant(spark: SparkSession, sf_dir: str, index: DataFrame | None = None) -> DataFrame:
     """Documents that hold a query's passage whole. Candidates come from the longest word inside the passage, so that no
     query meets all texts; a passage without one, of two words or fewer, has no relevant documents."""
     queries, docs = views.benchmark_queries(spark, sf_dir), views.read(spark, sf_dir, "documents")
     inner = F.array_distinct(F.regexp_extract_all("passage", F.lit(r"(?<=[^A-Za-z0-9])[A-Za-z0-9]+(?=[^A-Za-z0-9])"), 0))
     held = queries.withColumn("anchor", F.lower(F.try_element_at(F.array_sort(inner, lambda a, b: F.length(b) - F.length(a)), F.lit(1))))
-    words = docs.select("doc_id", F.explode(F.array_distinct(text.word_tokens("text"))).alias("anchor"))
+    index = _index(spark, sf_dir) if index is None else index
+    words = index.select("doc_id", F.col("token").alias("anchor"))
     candidates = held.join(words, "anchor").select("query_id", "passage", "doc_id")
     return candidates.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "passage")).select(F.col("query_id").alias("case_id"), F.col("doc_id").alias("id"))
 
@@ -166,13 +167,13 @@ def _relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RELEVANT = "relevant AS (SELECT query_id AS case_id, doc_id AS id FROM v_query q JOIN documents d ON contains(d.text, q.passage))"
 
 
-def _metrics(spark: SparkSession, sf_dir: str, hits: DataFrame) -> DataFrame:
+def _metrics(spark: SparkSession, sf_dir: str, hits: DataFrame, index: DataFrame | None = None) -> DataFrame:
     cases = views.benchmark_queries(spark, sf_dir).select(F.col("query_id").alias("case_id"), F.concat(F.lit("c"), F.col("query_id") % 3).alias("category"))
-    return evaluation.rolled_up(evaluation.case_metrics(hits, _relevant(spark, sf_dir), cases), "category")
+    return evaluation.rolled_up(evaluation.case_metrics(hits, _relevant(spark, sf_dir, index), cases), "category")
 
 
-def _lexical_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.top_per(_bm25(spark, sf_dir), ["query_id"], K, F.desc("score"), F.asc("id")).select(F.col("query_id").alias("case_id"), "id", "rank")
+def _lexical_hits(spark: SparkSession, sf_dir: str, index: DataFrame | None = None) -> DataFrame:
+    return lexical.top_per(_bm25(spark, sf_dir, index=index), ["query_id"], K, F.desc("score"), F.asc("id")).select(F.col("query_id").alias("case_id"), "id", "rank")
 
 
 def _round_metrics(df: DataFrame, *keys: str) -> DataFrame:
@@ -180,7 +181,8 @@ def _round_metrics(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round_metrics(_metrics(spark, sf_dir, _lexical_hits(spark, sf_dir)), "category")
+    index = _index(spark, sf_dir)
+    return _round_metrics(_metrics(spark, sf_dir, _lexical_hits(spark, sf_dir, index), index), "category")
 
 
 def _metrics_sql(hits: str) -> str:
@@ -208,8 +210,9 @@ top AS (SELECT query_id AS case_id, id, row_number() OVER (PARTITION BY query_id
 
 def strategy_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two strategies for each phrase: how far the five documents of plain BM25 and of the weighted score agree."""
-    linear = lexical.top_per(_linear(spark, sf_dir), ["query_id"], K, F.desc("score"), F.asc("id")).select(F.col("query_id").alias("case_id"), "id")
-    both = evaluation.set_overlap(_lexical_hits(spark, sf_dir), linear)
+    index = _index(spark, sf_dir)
+    linear = lexical.top_per(_linear(spark, sf_dir, index), ["query_id"], K, F.desc("score"), F.asc("id")).select(F.col("query_id").alias("case_id"), "id")
+    both = evaluation.set_overlap(_lexical_hits(spark, sf_dir, index), linear)
     return both.select("case_id", "n_a", "n_b", "common", *(F.round(c, 6).alias(c) for c in ("jaccard", "recall", "precision")))
 
 
