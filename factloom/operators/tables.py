@@ -27,8 +27,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def kept(df: DataFrame, label: str, *sorted_by: str) -> DataFrame:
-    """df as a Parquet table of its own, read back: columns are pruned, and, where rows are sorted, row groups too."""
+def kept(df: DataFrame, label: str, *sorted_by: str, folders: str | None = None) -> DataFrame:
+    """df as a Parquet table of its own, read back: columns are pruned, and, where rows are sorted, row groups too. folders: a
+    column of few values, each a folder, of which a filter on it reads its own alone."""
     path = f"{shared_dir(df.sparkSession)}/factloom/{label}-{uuid.uuid4().hex}"
-    (df.sortWithinPartitions(*sorted_by) if sorted_by else df).write.parquet(path)
+    rows = (df.sortWithinPartitions(*sorted_by) if sorted_by else df).write
+    (rows.partitionBy(folders) if folders else rows).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -16,7 +16,7 @@ def one(spark, column):
 
 def test_tokens_of_mixed_scripts(spark):
     got = one(spark, text.lexical_tokens(F.lit("Ab-c 12 日本語 x 好")))
-    assert got == ["w:ab", "w:c", "w:12", "w:x", "c:日", "c:本", "c:語", "c:好", "b:日本", "b:本語"]
+    assert got == ["w:ab", "w:c", "w:12", "w:x", "c:日", "c:本", "c:語", "c:好", "b:日本", "b:本語", "b:語好"]
     assert one(spark, text.evidence_tokens(F.lit("the cat is 日本"))) == ["w:cat", "b:日本"]
     assert one(spark, text.lexical_tokens(F.lit(None).cast("string"))) == []
 
