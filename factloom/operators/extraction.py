@@ -21,6 +21,7 @@ from pyspark.sql.types import StringType
 
 from factloom.functions import rules as r
 from factloom.functions.text import comparable, lexical_tokens
+from factloom.operators.tables import spread
 
 QUOTES = "“”\"'‘’"
 FACT = "content string, kind string, key string, cardinality string, importance double, confidence double, channel string, intent string, temporal string"
@@ -125,7 +126,8 @@ def confirmed(messages: DataFrame) -> DataFrame:
 def candidates(messages: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
     """(conv, turn, row, place, said, content, kind, key, ...): the facts of each user message, numbered as they stand; of facts
     with one text, whatever its case, the first place and the last properties. row tells repeated rows apart."""
-    lines = messages.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.monotonically_increasing_id().alias("row"), F.col(role).alias("role"), one_line(F.col(text)).alias("said"))
+    rows = spread(messages.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text")))
+    lines = rows.select("conv", "turn", F.monotonically_increasing_id().alias("row"), "role", one_line(F.col("text")).alias("said"))
     said = F.col("said")
     open_ = lines.where((F.col("role") == "user") & is_safe(said)).where(states_something(said)).select("conv", "turn", "row", "said")
     found = open_.select("*", F.posexplode(in_message(said)).alias("i", "fact")).select("conv", "turn", "row", "said", F.lit(-1).alias("clause"), "i", "fact")

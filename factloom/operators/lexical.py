@@ -11,14 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.text import lexical_tokens
-from factloom.operators.tables import kept
+from factloom.operators.tables import kept, spread
 
 K1, B = 1.2, 0.75
 
 
 def postings(docs: DataFrame, tokens: Callable[[str], Column] = lexical_tokens) -> DataFrame:
     """docs (shard, doc_id, text, active) -> (shard, doc_id, active, token, tf, length)."""
-    held = docs.select("shard", "doc_id", "active", tokens("text").alias("tokens"))
+    held = spread(docs.select("shard", "doc_id", "active", "text")).select("shard", "doc_id", "active", tokens("text").alias("tokens"))
     # outer, as a plain explode makes the optimiser tokenise once more to leave out texts without tokens
     exploded = held.select("shard", "doc_id", "active", F.size("tokens").alias("length"), F.explode_outer("tokens").alias("token")).where("token is not null")
     return exploded.groupBy("shard", "doc_id", "active", "token").agg(F.count("*").alias("tf"), F.first("length").alias("length"))

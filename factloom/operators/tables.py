@@ -34,3 +34,10 @@ def kept(df: DataFrame, label: str, *sorted_by: str, folders: str | None = None)
     rows = (df.sortWithinPartitions(*sorted_by) if sorted_by else df).write
     (rows.partitionBy(folders) if folders else rows).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df on all cores where its input has fewer files than there are cores, as work that is heavy for each row would else run
+    in few tasks; where files are many, nothing is moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from factloom.sources.versioned import VersionedTable
+
 OUTCOMES = {"purchase": "adopted", "signup": "corrected", "error": "denied", "click": "injected"}
 
 
@@ -91,19 +93,12 @@ def expiry(events: DataFrame, hours: int = 24, late: str = "1 hour") -> DataFram
     )
 
 
-def mirrored(changes: DataFrame, path: str, checkpoint: str, key: str, seq: str) -> StreamingQuery:
-    """A change stream mirrored as a table: each micro-batch merges its latest rows into a new version of the table, in a
-    folder of its own, and then names it as current. A repeated batch writes the same version again, so that a retry
-    changes nothing."""
-    spark = changes.sparkSession
+def mirrored(changes: DataFrame, table: VersionedTable, checkpoint: str, source: str | None = None) -> StreamingQuery:
+    """A change stream mirrored into a table: each micro-batch rewrites the buckets of its keys and then publishes a version. A
+    batch that is sent again changes nothing; with a new checkpoint, another source, the table stays and is merged into."""
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        last = batch.groupBy(key).agg(F.max_by(F.struct(*(c for c in batch.columns if c != key)), seq).alias("v")).select(key, "v.*")
-        if epoch:
-            before = spark.read.schema(batch.schema).parquet(f"{path}/version={epoch - 1}")
-            both = before.unionByName(last)
-            last = both.groupBy(key).agg(F.max_by(F.struct(*(c for c in batch.columns if c != key)), seq).alias("v")).select(key, "v.*")
-        last.write.mode("overwrite").parquet(f"{path}/version={epoch}")
+        table.merge(batch, source or checkpoint, epoch)
 
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from core_helpers import SF
+from factloom.sources.versioned import VersionedTable
 from factloom.streaming import jobs
 
 
@@ -64,14 +65,53 @@ def test_feedback_join_equals_batch(spark, tmp_path):
     assert matched(out) == matched(want)
 
 
-def test_mirror_is_idempotent(spark, tmp_path):
+CHANGES = "id long, seq long, op string, v string"
+
+
+def put(spark, at, *rows):
+    spark.createDataFrame(rows, CHANGES).coalesce(1).write.mode("append").parquet(at)
+
+
+def test_mirror_rewrites_touched_buckets_and_publishes_whole_versions(spark, tmp_path):
     at, out = str(tmp_path / "in"), str(tmp_path / "out")
-    spark.createDataFrame([(1, 1, "a"), (2, 2, "b")], "id long, seq long, v string").coalesce(1).write.parquet(at)
-    spark.createDataFrame([(1, 3, "c")], "id long, seq long, v string").coalesce(1).write.mode("append").parquet(at)
-    stream = spark.readStream.schema("id long, seq long, v string").option("maxFilesPerTrigger", 1).parquet(at)
-    for _ in range(2):
-        jobs.mirrored(stream, out, str(tmp_path / "c"), "id", "seq").awaitTermination()
-    assert rows(spark.read.parquet(f"{out}/version=1").select("id", "v")) == ["Row(id=1, v='c')", "Row(id=2, v='b')"]
+    table = VersionedTable(spark, out, CHANGES, "id", "seq", buckets=8)
+    put(spark, at, *((i, 1, "upsert", "a") for i in range(40)))
+    stream = spark.readStream.schema(CHANGES).option("maxFilesPerTrigger", 1).parquet(at)
+    run = lambda c, source=None: jobs.mirrored(stream, table, str(tmp_path / c), source).awaitTermination()
+    run("c")
+    assert table.versions() == [0] and table.read().count() == 40 and len(table.manifest()) == 8
+    before = {b: m["folder"] for b, m in table.manifest().items()}
+    put(spark, at, (7, 3, "upsert", "b"), (7, 2, "upsert", "late"))
+    run("c")
+    run("c")
+    after = {b: m["folder"] for b, m in table.manifest().items()}
+    assert table.versions() == [0, 1] and sum(before[b] != after[b] for b in before) == 1, "one key, one bucket"
+    assert table.read().where("id = 7").first().v == "b" and table.read(0).where("id = 7").first().v == "a"
+    put(spark, at, (7, 5, "delete", None), (8, 4, "upsert", "c"))
+    put(spark, at, (7, 4, "upsert", "too late"))
+    run("c")
+    assert table.read().count() == 39 and table.read().where("id = 7").count() == 0
+    run("other")  # a new checkpoint sends all files again
+    assert table.read().count() == 39 and table.read().where("id = 8").first().v == "c"
+    spark.createDataFrame([(1, 99, "upsert", "unpublished")], CHANGES).write.parquet(f"{out}/data/version=77/bucket=1")
+    assert table.read().where("v = 'unpublished'").count() == 0
+    kept = {tuple(r) for r in table.read().collect()}
+    assert table.forget(1) > 0 and {tuple(r) for r in table.read().collect()} == kept
+
+
+def test_any_order_of_batches_gives_one_table(spark, tmp_path):
+    import random
+
+    rows = [(i % 5, s, "delete" if s % 4 == 0 else "upsert", f"v{s}") for i, s in zip(range(40), range(40), strict=True)] + [(None, 1, "upsert", "x"), (1, 36, "upsert", "tie")]
+    seen = []
+    for n in range(2):
+        random.Random(n).shuffle(rows)
+        table = VersionedTable(spark, str(tmp_path / f"t{n}"), CHANGES, "id", "seq", buckets=3)
+        for at in range(0, len(rows), 14):
+            table.merge(spark.createDataFrame(rows[at : at + 14], CHANGES))
+        assert not table.merge(spark.createDataFrame([], CHANGES))
+        seen.append(sorted(map(tuple, table.read().collect())))
+    assert seen[0] == seen[1] and VersionedTable(spark, str(tmp_path / "none"), CHANGES, "id", "seq").read().count() == 0
 
 
 def test_expiry_fires_after_silence(spark, tmp_path):
