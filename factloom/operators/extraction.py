@@ -1,11 +1,11 @@
 """Facts from messages: rules over clauses, corrections over whole messages, confirmations of what was asked before.
 
-A message is one row from its text to its facts: it is cut into clauses, one scan drops the clauses that no rule can match,
-and all rules are one array of expressions over a clause. Nothing but found facts is shuffled, to keep one of each text in
-a message. A confirmation needs the assistant's message before it: for that a row without text, with what the message asks
-for, crosses the shuffle by conversation.
+Messages are normalised and numbered once, into a stored table. From there a message is one row up to its facts: it is cut
+into clauses, one scan drops the clauses that no rule can match, and all rules are one array of expressions over a clause.
+Nothing but found facts is shuffled, to keep one of each text in a message. A confirmation needs the assistant's message
+before it: for that a row without text, with what the message asks for, crosses the shuffle by conversation.
 
-Null texts give nothing. Texts are read whole, and rows are told apart by (conv, turn, role, text) only where facts repeat.
+Null texts give nothing; texts are read whole; repeated rows each give their facts.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql.types import StringType
 
 from factloom.functions import rules as r
 from factloom.functions.text import comparable, lexical_tokens
-from factloom.operators.tables import spread
+from factloom.operators.tables import kept, spread
 
 QUOTES = "“”\"'‘’"
 FACT = "content string, kind string, key string, cardinality string, importance double, confidence double, channel string, intent string, temporal string"
@@ -127,7 +127,8 @@ def candidates(messages: DataFrame, conv: str, turn: str, role: str, text: str)
     """(conv, turn, row, place, said, content, kind, key, ...): the facts of each user message, numbered as they stand; of facts
     with one text, whatever its case, the first place and the last properties. row tells repeated rows apart."""
     rows = spread(messages.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text")))
-    lines = rows.select("conv", "turn", F.monotonically_increasing_id().alias("row"), "role", one_line(F.col("text")).alias("said"))
+    # a stored table, as row numbers and normal forms are made once and read by every branch
+    lines = kept(rows.select("conv", "turn", F.monotonically_increasing_id().alias("row"), "role", one_line(F.col("text")).alias("said")), "lines")
     said = F.col("said")
     open_ = lines.where((F.col("role") == "user") & is_safe(said)).where(states_something(said)).select("conv", "turn", "row", "said")
     found = open_.select("*", F.posexplode(in_message(said)).alias("i", "fact")).select("conv", "turn", "row", "said", F.lit(-1).alias("clause"), "i", "fact")
@@ -137,12 +138,12 @@ def candidates(messages: DataFrame, conv: str, turn: str, role: str, text: str)
     agreed = confirmed(lines).select("conv", "turn", "row", "said", F.lit(2**31 - 1).alias("clause"), F.lit(0).alias("i"), "fact")
     rows = found.unionByName(ruled).unionByName(agreed).where(is_safe(F.col("fact.content")))
     order = F.struct("clause", "i")
-    kept = rows.groupBy("row", F.lower("fact.content").alias("_same")).agg(
+    single = rows.groupBy("row", F.lower("fact.content").alias("_same")).agg(
         F.first("conv").alias("conv"), F.first("turn").alias("turn"), F.first("said").alias("said"), F.min(order).alias("first"), F.max_by("fact", order).alias("fact")
     )
     at = F.row_number().over(Window.partitionBy("row").orderBy("first"))
     private = any_of(F.col("fact.content"), r.PRIVATE)
-    return kept.select(
+    return single.select(
         "conv", "turn", "row", (at - 1).alias("place"), "said", "fact.*",
         F.when(private, "private").otherwise("normal").alias("sensitivity"), F.when(private, "local-only").otherwise("allow-remote").alias("share"),
     )
