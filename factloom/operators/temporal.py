@@ -28,5 +28,5 @@ def close_intervals(rows: DataFrame, by: list[str], start: str, id: str) -> Data
 def back_filled(rows: DataFrame, by: list[str], start: str, id: str, updated: str) -> DataFrame:
     """End of superseded rows that have none: the later of the next start and one second after their own, else their update time."""
     after = F.lead(start).over(Window.partitionBy(*by).orderBy(start, id))
-    end = F.when(F.col("status") == "superseded", F.coalesce(F.greatest(after, F.col(start) + F.expr("INTERVAL 1 SECOND")), F.col(updated)))
+    end = F.when(F.col("status") == "superseded", F.when(after.isNotNull(), F.greatest(after, F.col(start) + F.expr("INTERVAL 1 SECOND"))).otherwise(F.col(updated)))
     return rows.withColumn("valid_to", F.coalesce("valid_to", end))
