@@ -70,10 +70,10 @@ def recall_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hashed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hashed embedding of every fact, concepts included: its first dimensions, their number and weights."""
+    """The hashed embedding of every fact, concepts included: the number of its dimensions, the first one, the largest weight, and the sum of absolute weights by place."""
     rows = facts(spark, sf_dir).select("owner", "id", text.hashed_terms("content", hybrid.DIMS, cues.concepts(F.col("content"))).alias("dims"))
     weights = hybrid._weights(rows, "owner", "id")
-    return weights.groupBy("owner", "id").agg(F.count("*").alias("dims"), F.min("dim").alias("first_dim"), F.round(F.sum("weight"), 6).alias("total"), F.round(F.max("weight"), 6).alias("largest"))
+    return weights.groupBy("owner", "id").agg(F.count("*").alias("dims"), F.min("dim").alias("first_dim"), F.round(F.sum(F.abs("weight") * (F.col("dim") + 1)), 5).alias("total"), F.round(F.max("weight"), 6).alias("largest"))
 
 
 def _lit(values) -> str:
@@ -157,7 +157,7 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY request_id ORDER BY sc
 
 RECALL_HYBRID = f"""WITH RECURSIVE {RANKED} SELECT request_id, id, rank, round(score, 5) AS score, array_to_string(found, ',') AS routes, round(lexical, 5) AS lexical, round(semantic, 5) AS semantic, round(structured, 5) AS structured FROM ranked"""
 RECALL_FIXED = f"""WITH RECURSIVE {RANKED}, u AS (SELECT id, count(*) AS n FROM ranked WHERE rank <= 5 GROUP BY id) SELECT owner, id, uses + coalesce(n, 0) AS uses FROM v_fact LEFT JOIN u USING (id)"""
-HASHED_EMBEDDINGS = f"""WITH {FACTS}, d AS {_dims_sql("v_fact", "owner, id")} SELECT owner, id, count(*) AS dims, min(dim) AS first_dim, round(sum(weight), 6) AS total, round(max(weight), 6) AS largest FROM d GROUP BY owner, id"""
+HASHED_EMBEDDINGS = f"""WITH {FACTS}, d AS {_dims_sql("v_fact", "owner, id")} SELECT owner, id, count(*) AS dims, min(dim) AS first_dim, round(sum(abs(weight) * (dim + 1)), 5) AS total, round(max(weight), 6) AS largest FROM d GROUP BY owner, id"""
 
 QUERIES = {f.__name__: f for f in (recall_plans, recall_hybrid, recall_fixed, recall_adaptive, hashed_embeddings)}
 ORACLES = {"recall_plans": RECALL_PLANS, "recall_hybrid": RECALL_HYBRID, "recall_fixed": RECALL_FIXED, "hashed_embeddings": HASHED_EMBEDDINGS}
