@@ -276,7 +276,9 @@ def adaptive(requests: DataFrame, ranked: DataFrame, alike: float = 0.9) -> Data
             return none(why)
         return pd.DataFrame([(head["request_id"], i + 1, r["id"], r["score"], batches, evaluated, why) for i, r in enumerate(taken)], columns=CHOSEN_NAMES).astype({"id": "Int64"})
 
-    return met.groupBy("request_id").applyInPandas(run, CHOSEN)
+    # by a number of its own, as tasks of few bytes that are heavy by row would else be put together
+    tasks = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return met.repartition(tasks, "request_id").groupBy("request_id").applyInPandas(run, CHOSEN)
 
 
 CHOSEN_NAMES = [f.split()[0] for f in CHOSEN.split(", ")]
