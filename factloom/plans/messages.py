@@ -87,7 +87,8 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = views.read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     people = views.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
     places = F.broadcast(views.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name"))
-    rows = orders.join(people, "o_custkey").join(places, "c_nationkey")
+    # never broadcast: the file of a million customers is small, their rows on the driver are not
+    rows = orders.join(people.hint("merge"), "o_custkey").join(places, "c_nationkey")
     slots = {NAME: F.concat(F.lit("Kai"), F.col("o_custkey").cast("string")), PLACE: F.col("n_name"), THING: F.substr(F.col("o_orderpriority"), F.lit(3))}
     k = F.col("o_orderkey") % len(TEMPLATES)
     said = F.coalesce(*(F.when(k == i, _filled(text, slots)) for i, (text, _) in enumerate(TEMPLATES)))

@@ -125,3 +125,12 @@ def test_evidence_of_other_channels_and_every_decision(spark):
         "weak": ("QUARANTINE", "policy-quarantine", None), "part": ("CONFLICT", "conflict-requires-confirmation", 7), "held": ("ADD", "new-supported-fact", None), "vague": ("QUARANTINE", "policy-quarantine", None), "health": ("QUARANTINE", "high-risk-field-requires-confirmation", None),
         "suppressed": ("NOOP", "user-lifecycle-state-protected", 8), "inactive": ("ADD", "inactive-fact-reasserted", 9), "unsafe": ("NOOP", "unsafe-content", None),
     }
+
+
+def test_rules_run_only_where_a_text_that_they_need_stands(spark):
+    plain = lambda p: re.compile(re.sub(r"\\p\{[LN]\}", r"\\w", p))
+    for rule in rules.RULES:
+        assert rule.needs and all(n == n.lower() for n in rule.needs), rule.pattern
+        assert all(any(n in t.lower() for n in rule.needs) for t in [*STATED, "MY NAME IS Bo", "On Weekends I often go out", "医生说我有病", "我是左撇子"] if plain(rule.pattern).search(t)), rule.pattern
+    met = [r.m for r in spark.createDataFrame([("MY NAME IS Bo",), ("我是左撇子",), ("nothing",)], "t string").select(x.met_rules(F.col("t"), F.lower("t")).alias("m")).collect()]
+    assert [[f.value for f in m] for m in met] == [["Bo"], ["左撇子"], []]
