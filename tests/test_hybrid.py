@@ -87,3 +87,15 @@ PLAN = {"concepts": [], "broad": False, "mode": "current", "first": 4, "later":
 def test_why_selection_ends(found, plan, taken, why):
     got, batches, evaluated, reason = h.select(found, PLAN | plan)
     assert (len(got), reason) == (taken, why) and batches <= 3 and evaluated <= len(found)
+
+
+def test_tables_by_owner_are_not_sent_through_the_driver(spark, monkeypatch):
+    from factloom.operators import tables
+
+    monkeypatch.setattr(tables, "BROADCAST", 2)
+    few, many = (tables.keyed(spark.range(n).withColumnRenamed("id", "owner"), "test") for n in (2, 3))
+    other = spark.range(5).withColumnRenamed("id", "owner").repartition(2)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" in plan(other.join(few, "owner")) and "BroadcastExchange" not in plan(other.join(many, "owner"))
+    dims = spark.sql("SELECT id AS owner, id, array(named_struct('dim', 1, 'sign', 1)) AS dims FROM range(3)")
+    assert "BroadcastExchange" not in plan(h._weights(dims, "owner", "id").join(spark.range(3).withColumnRenamed("id", "owner"), "owner"))
