@@ -59,7 +59,8 @@ FROM (SELECT *, embedding IS NOT NULL AND fact_id % 11 <> 0 AND (fact_id % 5 <>
 
 def mirror_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as a change log in three batches, the middle one sent twice and the newest first: each customer's newest order is the
-    row that the mirror holds, and an order that was cancelled (status P) deletes the row."""
+    row that the mirror holds, and an order that was cancelled (status P) deletes the row. Orders of one time and one last three
+    digits tie: then a deletion counts, and of several the one whose number is the last as text, as VersionedTable says."""
     o = views.read(spark, sf_dir, "orders")
     change = o.select(F.col("o_custkey").alias("key"), (F.unix_micros(F.col("o_orderdate").cast("timestamp")) * 1000 + F.col("o_orderkey") % 1000).alias("seq"), F.when(F.col("o_orderstatus") == "P", "delete").otherwise("upsert").alias("op"), F.col("o_orderkey").alias("order_id"), F.col("o_totalprice").alias("price"))
     table = VersionedTable(spark, _folder(spark, "mirror"), "key long, seq long, op string, order_id long, price double", buckets=8)
@@ -70,7 +71,7 @@ def mirror_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MIRROR_BATCHES = """WITH c AS (SELECT o_custkey AS key, epoch_us(o_orderdate) * 1000 + o_orderkey % 1000 AS seq, o_orderstatus, o_orderkey AS order_id, o_totalprice AS price FROM orders),
-n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC, o_orderstatus = 'P' DESC) AS n FROM c)
+n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC, o_orderstatus = 'P' DESC, CAST(order_id AS VARCHAR) DESC) AS n FROM c)
 SELECT key, seq, order_id, price FROM n WHERE n = 1 AND o_orderstatus <> 'P'"""
 
 QUERIES = {f.__name__: f for f in (vector_states, vector_lookup, mirror_batches)}

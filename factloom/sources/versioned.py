@@ -2,7 +2,7 @@
 manifest, published last, says which folder of each bucket counts.
 
 A change is a row (key, seq, op, ...): `upsert` or `delete`. The change with the highest seq of a key counts, whatever the
-order of arrival; deletions stay as marks, so that an older upsert that comes late brings nothing back. Readers follow the
+order of arrival; of equal ones a deletion, then the one whose other columns are the last as JSON text; deletions stay as marks, so that an older upsert that comes late brings nothing back. Readers follow the
 newest published manifest and see whole versions only; a version that was never published is ignored. A batch that a
 source sends again, by its name and number, changes nothing.
 

@@ -43,3 +43,19 @@ def test_rare_token_pairs_in_tiles(spark, monkeypatch):
     rows = [(i, "st"[i % 5 == 0], " ".join(f"w{(i * 7 + k * (1 + i % 3)) % 13}" for k in range(6))) for i in range(60)]
     rows += [(100 + i, "s", "same words here") for i in range(15)]
     assert got(spark, rows) == pairs_by_hand(rows)
+
+
+def test_mirror_and_its_sql_agree_on_orders_that_tie(spark, tmp_path):
+    import duckdb
+
+    from factloom.plans import stores
+
+    # one customer's orders of one time: numbers that end alike tie, and 98... is the last as text, not the largest
+    rows = [(1, 2007, "O"), (1, 98007, "F"), (1, 150007, "O"), (2, 1007, "O"), (2, 2007, "P"), (2, 3007, "P"), (3, 5, "O")]
+    df = spark.createDataFrame(rows, "o_custkey long, o_orderkey long, o_orderstatus string").selectExpr("*", "o_orderkey * 1.5D AS o_totalprice", "TIMESTAMP '2000-01-01' AS o_orderdate")
+    df.coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    got = sorted((r.key, r.order_id) for r in stores.mirror_batches(spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    for order in ("o_orderkey", "o_orderkey DESC"):
+        con.sql(f"CREATE OR REPLACE TABLE orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet' ORDER BY {order}")
+        assert sorted((r[0], r[2]) for r in con.sql(stores.MIRROR_BATCHES).fetchall()) == got == [(1, 98007), (3, 5)]
