@@ -153,3 +153,29 @@ def test_migration_is_idempotent(spark):
     again = writing.migrated(df.union(df))
     assert sorted(map(str, once.select("kind", "id").collect())) == sorted(map(str, again.select("kind", "id").collect()))
     assert {r.ref for r in once.where("kind = 'fact'").collect()} == {"quarantined", "active", "superseded"}
+
+
+def test_bm25_deals_documents_over_tasks_that_grow_with_the_pairs(spark, monkeypatch):
+    from factloom.operators import lexical
+
+    docs = spark.range(60).selectExpr("'s' AS shard", "id AS doc_id", "concat('common w', id % 7) AS text", "true AS active")
+    asked = spark.createDataFrame([(i, f"common w{i}") for i in range(5)], "query_id long, text string")
+    want = {(r.query_id, r.doc_id): round(r.score, 9) for r in lexical.bm25(asked, docs).collect()}
+    monkeypatch.setattr(lexical, "PAIRS", 10)
+    monkeypatch.setattr(lexical, "DOCS", 3)
+    scored = lexical.bm25(asked, docs)
+    assert {(r.query_id, r.doc_id): round(r.score, 9) for r in scored.collect()} == want and len(want) == 300
+    # 300 pairs, 10 a task; no exchange lies between pairs and scores
+    assert scored.rdd.getNumPartitions() == 30
+
+
+def test_cycles_are_found_in_rounds_by_the_logarithm_of_a_chain(spark, monkeypatch):
+    from factloom.operators import commands
+
+    rounds, cut = [], commands.cut
+    monkeypatch.setattr(commands, "cut", lambda df: rounds.append(1) or cut(df))
+    chain = [(i, i + 1) for i in range(100)]  # an end after 100 steps: nothing is left of it
+    ring = [(200, 201), (201, 202), (202, 200), (210, 200), (211, 210), (212, 211), (212, 5)]  # a cycle, a way into it, and a node with two ways
+    fork = [(300, 301), (300, 302), (302, 303), (310, 310)]
+    found = sorted(r.node for r in commands.cyclic(spark.createDataFrame(chain + ring + fork, "src long, dst long")).collect())
+    assert found == [200, 201, 202, 210, 211, 212, 310] and len(rounds) <= 11
