@@ -36,13 +36,16 @@ def applied_commands(facts: DataFrame, commands: DataFrame, known: DataFrame | N
 
 
 def cyclic(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """(node) of the nodes that lie on a cycle or lead only into one: those left when nodes without outgoing edges are
-    peeled off, again and again. The driver sees counts."""
+    """(node) of the nodes that some path leads on from without end: those left when nodes without outgoing edges are peeled
+    off, again and again. An edge to a node with one way on is put to the end of that way, which is left if and only if the
+    node is: so a chain halves in each round, and rounds grow with the logarithm of the longest chain, not with its length.
+    A round in which no node goes is the last, as of nodes that can go, one leads only to ends. The driver sees counts."""
     left = cut(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct())
-    n = left.count()
+    n = left.select("src").distinct().count()
     while n:
-        left = cut(left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-        now = left.count()
+        ways = left.groupBy(F.col("src").alias("dst")).agg(F.when(F.count("*") == 1, F.min("dst")).alias("on"))
+        left = cut(left.join(ways, "dst").select("src", F.coalesce("on", "dst").alias("dst")).distinct())
+        now = left.select("src").distinct().count()
         if now == n:
             break
         n = now
