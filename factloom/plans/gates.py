@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import literals, text
-from factloom.operators import gates, lexical
+from factloom.operators import gates, lexical, tables
 from factloom.plans import lifecycle, retrieval, views
 
 
@@ -114,12 +114,16 @@ SELECT category, hits, false_alarms, misses, round(coalesce(hits / nullif(hits +
 def safety_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark queries whose candidates hold personal data (privacy) or fail the safety gate (safety), and those that get such
     a document among their five best."""
-    scored = retrieval._bm25(spark, sf_dir)
+    index = retrieval._index(spark, sf_dir)
     docs = views.read(spark, sf_dir, "documents")
     tags = F.array_compact(F.array(F.when(text.privacy("text")["sensitivity"] == "private", "privacy"), F.when(~text.is_safe("text"), "safety")))
     tagged = docs.select(F.col("doc_id").alias("id"), tags.alias("tags")).where(F.size("tags") > 0)
-    top = lexical.top_per(scored, ["query_id"], 5, F.desc("score"), F.asc("id"))
-    out = gates.leaks_by_tag(scored.select("query_id", "id").join(tagged, "id"), top)
+    top = tables.kept(lexical.top_per(retrieval._bm25(spark, sf_dir, index=index), ["query_id"], 5, F.desc("score"), F.asc("id")), "top")
+    # every document that shares a word is a candidate: whether one has a tag is asked of words, not of pairs; those shown follow
+    words = index.select(F.col("doc_id").alias("id"), "token").join(tagged, "id").select("token", "id", F.explode("tags").alias("tag")).groupBy("token", "tag").agg(F.min("id").alias("id"))
+    terms = views.benchmark_queries(spark, sf_dir).select("query_id", F.explode(F.array_distinct(text.word_tokens("text"))).alias("token"))
+    met = terms.join(words, "token").groupBy("query_id", "tag").agg(F.min("id").alias("id")).select("query_id", "id", F.array("tag").alias("tags"))
+    out = gates.leaks_by_tag(met.unionByName(top.select("query_id", "id").join(tagged, "id").select("query_id", "id", "tags")), top)
     return out.select("tag", "cases", "leaks", F.round("rate", 6).alias("rate"), F.round("bounds.low", 6).alias("low"), F.round("bounds.high", 6).alias("high"))
 
 

@@ -61,3 +61,11 @@ def test_hot_message_offers_what_a_query_can_use(spark):
     seeds = spark.createDataFrame([(1, f) for f in range(12)] + [(2, 900)], "query_id int, fact_id int")
     got = gates.sharing_messages(seeds, links, 60, 12).collect()
     assert sorted(r.fact_id for r in got if r.query_id == 1) == list(range(12, 72)) and [r.fact_id for r in got if r.query_id == 2] == [3]
+
+
+def test_leaks_are_asked_of_words_not_of_pairs(spark):
+    from core_helpers import SF
+    from factloom.plans import gates as plans
+
+    plan = plans.safety_leaks(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sum(w#" not in plan
