@@ -1,6 +1,7 @@
 """Literal cases with values worked out by hand, for what the given tables don't hold."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -179,3 +180,39 @@ def test_cycles_are_found_in_rounds_by_the_logarithm_of_a_chain(spark, monkeypat
     fork = [(300, 301), (300, 302), (302, 303), (310, 310)]
     found = sorted(r.node for r in commands.cyclic(spark.createDataFrame(chain + ring + fork, "src long, dst long")).collect())
     assert found == [200, 201, 202, 210, 211, 212, 310] and len(rounds) <= 11
+
+
+def test_bm25_shuffles_no_posting_by_its_token(spark, monkeypatch):
+    from factloom.operators import lexical
+
+    docs = spark.range(60).selectExpr("if(id % 3 = 0, 's', 't') AS shard", "id AS doc_id", "concat('common w', id % 7) AS text", "true AS active")
+    asked = spark.createDataFrame([(i, f"common w{i}") for i in range(5)], "query_id long, text string")
+    found = lambda df: {(r.query_id, r.shard, r.doc_id): round(r.score, 9) for r in df.collect()}
+    kept_at = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scored = lexical.bm25(asked, docs)
+        want = found(scored)
+        plan = scored._jdf.queryExecution().executedPlan().toString()
+        assert len(want) == 300 and not re.search(r"hashpartitioning\(shard#\d+, token#", plan)
+        # more frequencies than may be broadcast: one token's postings in parts, in tasks that grow with them
+        monkeypatch.setattr(lexical, "TERMS", 3)
+        monkeypatch.setattr(lexical, "ROWS", 10)
+        posted = lexical.index(docs)
+        joined = lexical._with_frequency(posted)
+        assert joined.rdd.getNumPartitions() == 12 and joined.columns.count("_part") == 0
+        assert joined.count() == posted.count() == 120
+        assert found(lexical.bm25(asked, docs)) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept_at)
+
+
+def test_strategies_are_compared_over_one_scoring(spark, monkeypatch):
+    from core_helpers import SF
+    from factloom.operators import lexical
+    from factloom.plans import retrieval
+
+    calls, scored = [], lexical.bm25
+    monkeypatch.setattr(lexical, "bm25", lambda *a, **k: calls.append("bm25") or scored(*a, **k))
+    retrieval.strategy_compare(spark, SF)
+    assert calls == ["bm25"]
