@@ -118,8 +118,9 @@ SELECT predicate, count(*) AS n, min(id) AS first_id FROM n WHERE next_from < va
 
 def abstention_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrases whose best raw score is below the threshold of their kind abstain; how often that is right."""
-    best = retrieval._bm25(spark, sf_dir).groupBy("query_id").agg(F.max("score").alias("best"))
-    held = retrieval._relevant(spark, sf_dir).select(F.col("case_id").alias("query_id")).distinct().withColumn("known", F.lit(True))
+    index = retrieval._index(spark, sf_dir)
+    best = retrieval._bm25(spark, sf_dir, index=index).groupBy("query_id").agg(F.max("score").alias("best"))
+    held = retrieval._relevant(spark, sf_dir, index).select(F.col("case_id").alias("query_id")).distinct().withColumn("known", F.lit(True))
     rows = views.benchmark_queries(spark, sf_dir).join(best, "query_id", "left").join(held, "query_id", "left")
     least = F.when(F.col("query_id") % 3 == 0, 25.0).when(F.col("query_id") % 3 == 1, 22.0).otherwise(20.0)
     g = rows.select((F.coalesce("best", F.lit(0.0)) < least).alias("abstains"), F.coalesce("known", F.lit(False)).alias("answerable")).groupBy("abstains").agg(F.count("*").alias("n"), F.count_if("answerable").alias("answerable"))

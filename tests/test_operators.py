@@ -216,3 +216,14 @@ def test_strategies_are_compared_over_one_scoring(spark, monkeypatch):
     monkeypatch.setattr(lexical, "bm25", lambda *a, **k: calls.append("bm25") or scored(*a, **k))
     retrieval.strategy_compare(spark, SF)
     assert calls == ["bm25"]
+
+
+def test_abstention_reads_one_index(spark, monkeypatch):
+    from core_helpers import SF
+    from factloom.operators import lexical
+    from factloom.plans import linking
+
+    calls, made = [], lexical.postings
+    monkeypatch.setattr(lexical, "postings", lambda *a, **k: calls.append("postings") or made(*a, **k))
+    linking.abstention_gate(spark, SF)
+    assert calls == ["postings"]
