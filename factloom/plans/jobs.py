@@ -6,18 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import text
-from factloom.operators import selection
+from factloom.operators import lexical, selection
+from factloom.operators.tables import kept
 from factloom.plans import retrieval, views
 from factloom.sources import snapshots
 from factloom.streaming import jobs
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from factloom.operators.lexical import top_per
-
-    top = top_per(retrieval._bm25(spark, sf_dir), ["query_id"], selection.MOST, F.desc("score"), F.asc("id")).select("query_id", "id", "score")
-    docs = views.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array_distinct(text.word_tokens("text")).alias("tokens"), F.col("n_chars").cast("int").alias("chars"))
-    return top.join(docs, "id")
+    """The best documents of each phrase, with the words of their texts: texts that no phrase has among its best are not read
+    into words, nor shuffled."""
+    top = kept(lexical.top_per(retrieval._bm25(spark, sf_dir), ["query_id"], selection.MOST, F.desc("score"), F.asc("id")).select("query_id", "id", "score"), "candidates")
+    small = F.broadcast if top.count() <= lexical.TERMS else lambda df: df
+    docs = views.read(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id").join(small(top.select("id").distinct()), "id", "left_semi")
+    return docs.select("id", F.array_distinct(text.word_tokens("text")).alias("tokens"), F.col("n_chars").cast("int").alias("chars")).join(small(top), "id")
 
 
 def diverse_cut(spark: SparkSession, sf_dir: str) -> DataFrame:

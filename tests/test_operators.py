@@ -227,3 +227,13 @@ def test_abstention_reads_one_index(spark, monkeypatch):
     monkeypatch.setattr(lexical, "postings", lambda *a, **k: calls.append("postings") or made(*a, **k))
     linking.abstention_gate(spark, SF)
     assert calls == ["postings"]
+
+
+def test_candidates_shuffle_no_text_of_other_documents(spark):
+    from core_helpers import SF
+    from factloom.plans import jobs
+
+    rows = jobs._candidates(spark, SF)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    # the one shuffle is that of the distinct ids
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") <= 1 and rows.count() > 0
