@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows on one side of a tile: what one task compares with as many others.
-TILE = 500
+from factloom.operators.tables import BROADCAST, kept
+
+#: Rows on one side of a tile: what one task compares with as many others; documents that a task makes into tokens.
+TILE, DOCS = 500, 4_000
 
 
 def feedback_signals(events: DataFrame, fact: str = "fact_id", outcome: str = "outcome") -> DataFrame:
@@ -67,33 +69,68 @@ def summaries(rows: DataFrame, by: list[str], key: str, text: str, at: str) -> D
     )
 
 
-def _tiles(rows: DataFrame, by: list[str], unit: str) -> tuple[DataFrame, DataFrame]:
-    """rows twice, with (_i, _j): each group of `by`, dealt by `unit` into tiles of about TILE rows, meets itself tile by tile."""
-    sized = rows.join(rows.groupBy(*by).agg(F.ceil(F.count("*") / TILE).cast("int").alias("_tiles")), by)
-    own, all_ = F.pmod(F.xxhash64(unit), F.col("_tiles")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))
-    return sized.withColumn("_i", own).withColumn("_j", all_).drop("_tiles"), sized.withColumn("_j", own).withColumn("_i", all_).drop("_tiles")
+def _tiles(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows (with _tiles, _at) twice, with (_i, _j): each group, dealt by _at into tiles of about TILE rows, meets itself tile by
+    tile."""
+    own, all_ = F.pmod(F.col("_at"), F.col("_tiles")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))
+    return rows.withColumn("_i", own).withColumn("_j", all_).drop("_tiles", "_at"), rows.withColumn("_j", own).withColumn("_i", all_).drop("_tiles", "_at")
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has BROADCAST rows at most."""
+    return F.broadcast(df) if df.count() <= BROADCAST else df
+
+
+def _rarest(classes: DataFrame, members: DataFrame, df: DataFrame, scope: str, rarest: int) -> DataFrame:
+    """(scope, cls, keys): the rarest tokens of each class, in order.
+
+    Of many frequencies the BROADCAST largest are set apart: a class that has enough other tokens needs none of those, so that
+    most words are neither shuffled nor sorted. The classes that haven't are asked again, with all of their tokens."""
+
+    def of(sets: DataFrame, df: DataFrame, common: DataFrame | None = None) -> DataFrame:
+        terms = sets.select(scope, "cls", F.explode("toks").alias("token"))
+        terms = terms if common is None else terms.join(F.broadcast(common), [scope, "token"], "left_anti")
+        least = F.slice(F.sort_array(F.collect_list(F.struct("df", "token"))), 1, rarest)["token"]
+        return terms.join(df.hint("broadcast" if n <= BROADCAST else "shuffle_hash"), [scope, "token"]).groupBy(scope, "cls").agg(least.alias("keys"))
+
+    n = df.count()
+    if n <= BROADCAST:
+        return of(classes, df)
+    high = df.agg(F.percentile_approx("df", 1 - BROADCAST / n)).first()[0]
+    common = df.where(F.col("df") > high).select(scope, "token")
+    enough = kept(of(classes, df.where(F.col("df") <= high), common).where(F.size("keys") == rarest), "rarest")
+    short = kept(members.select("cls").distinct().join(enough.select("cls"), "cls", "left_anti"), "short")
+    return enough.unionByName(of(classes.join(_few(short), "cls", "left_semi"), df))
 
 
 def rare_token_pairs(docs: DataFrame, id: str, scope: str, tokens: Column, least: float, rarest: int = 3) -> DataFrame:
     """Pairs (a < b) of a scope that share one of their rarest tokens (of two documents at least, of any number at most),
     with the Jaccard of their token sets, rounded, where it is `least` or more.
 
-    Documents with equal token sets are one class. Classes are compared, each pair where it shares its first token
-    alone; then members take the place of classes. Both steps go by tiles, so that no token or class meets in one task."""
-    rows = docs.where(F.col(scope).isNotNull()).select(scope, id, F.array_sort(F.array_distinct(tokens)).alias("toks")).where(F.size("toks") > 0)
-    rows = rows.withColumn("cls", F.md5(F.array_join("toks", " ").cast("binary")))
-    classes = rows.groupBy(scope, "cls").agg(F.first("toks").alias("toks"), F.count("*").alias("n"))
-    terms = classes.select(scope, "cls", "n", F.explode("toks").alias("token"))
-    df = terms.groupBy(scope, "token").agg(F.sum("n").alias("df")).where("df > 1")
-    listed = terms.join(df, [scope, "token"]).groupBy(scope, "cls").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "token"))), 1, rarest)["token"].alias("keys"))
-    keyed = classes.select(scope, "cls", "toks").join(listed, [scope, "cls"]).withColumn("token", F.explode("keys"))
-    left, right = _tiles(keyed, [scope, "token"], "cls")
+    Documents with equal token sets are one class, that of its first row. Classes are compared, each pair where it shares its
+    first token alone; then members take the place of classes. Both steps go by tiles, so that no token or class meets in
+    one task. Texts become tokens once, in a stored table, and token sets travel with those classes alone that share a
+    rarest token with another."""
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-docs.count() // DOCS))
+    dealt = docs.where(F.col(scope).isNotNull()).repartition(tasks, id)
+    # sort_array, as array_sort compares by an interpreted function; rows without tokens go when all are stored, as the
+    # optimiser would make tokens once more to find them before the shuffle
+    listed = dealt.select(scope, id, F.monotonically_increasing_id().alias("row"), F.sort_array(F.array_distinct(tokens)).alias("toks"))
+    rows = kept(listed.withColumn("md5", F.md5(F.array_join("toks", " ").cast("binary"))), "tokens").where(F.size("toks") > 0)
+    members = kept(rows.select(scope, id, "row", F.min("row").over(Window.partitionBy(scope, "md5")).alias("cls")), "classes")
+    classes = rows.select(scope, F.col("row").alias("cls"), "toks").join(_few(members.where("row <> cls").select(F.col("row").alias("cls"))), "cls", "left_anti")
+    df = kept(rows.select(scope, F.explode("toks").alias("token")).groupBy(scope, "token").agg(F.count("*").alias("df")).where("df > 1"), "frequencies")
+    keyed = kept(_rarest(classes, members, df, scope, rarest).withColumn("token", F.explode("keys")), "keys")
+    shared = keyed.groupBy(scope, "token").agg(F.ceil(F.count("*") / TILE).cast("int").alias("_tiles"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    meeting = kept(keyed.join(shared, [scope, "token"]), "meeting")
+    sets = classes.select("cls", "toks").join(_few(meeting.select("cls").distinct()), "cls", "left_semi")
+    left, right = _tiles(meeting.join(sets, "cls").withColumn("_at", F.xxhash64("cls")))
     left, right = left.withColumnsRenamed({"cls": "x", "toks": "tx", "keys": "kx"}), right.withColumnsRenamed({"cls": "y", "toks": "ty", "keys": "ky"})
     both = F.size(F.array_intersect("tx", "ty"))
     jaccard = F.round(both / (F.size("tx") + F.size("ty") - both).cast("double"), 6)
     met = left.join(right, [scope, "token", "_i", "_j"]).where((F.col("x") < F.col("y")) & (F.array_intersect("kx", "ky")[0] == F.col("token")))
     across = met.withColumn("jaccard", jaccard).where(F.col("jaccard") >= least).select(scope, "x", "y", "jaccard")
-    return _members(rows.select(scope, "cls", id), across, id, scope)
+    return _members(members.select(scope, "cls", id), across, id, scope)
 
 
 def _members(rows: DataFrame, across: DataFrame, id: str, scope: str) -> DataFrame:

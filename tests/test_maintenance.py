@@ -45,6 +45,22 @@ def test_rare_token_pairs_in_tiles(spark, monkeypatch):
     assert got(spark, rows) == pairs_by_hand(rows)
 
 
+def test_rare_token_pairs_with_more_frequencies_than_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(maintenance, "TILE", 4)
+    monkeypatch.setattr(maintenance, "BROADCAST", 3, raising=False)
+    # some have three tokens that aren't common, some have common ones alone, some fewer than three in all
+    rows = [(i, "st"[i % 4 == 0], f"all of a kind k{i % 9} m{i % 7} n{i % 5} own{i}" if i % 3 else "all of a kind" if i % 2 else "of kind") for i in range(70)]
+    rows += [(100, "s", ""), (101, "s", None), (102, None, "all of a kind"), (103, "u", "alone here"), (104, "s", "k1 m1")]
+    want = pairs_by_hand(rows)
+    assert len(want) > 100 and got(spark, rows) == want
+
+
+def test_rare_token_pairs_make_tokens_once(spark):
+    docs = spark.createDataFrame([(1, "s", "red green blue"), (2, "s", "red green black"), (3, "s", "red green blue")], "doc_id long, source string, text string")
+    found = maintenance.rare_token_pairs(docs, "doc_id", "source", text.word_tokens("text"), 0.5)
+    assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count() == 3
+
+
 def test_mirror_and_its_sql_agree_on_orders_that_tie(spark, tmp_path):
     import duckdb
 
