@@ -237,3 +237,34 @@ def test_candidates_shuffle_no_text_of_other_documents(spark):
     plan = rows._jdf.queryExecution().executedPlan().toString()
     # the one shuffle is that of the distinct ids
     assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") <= 1 and rows.count() > 0
+
+
+def test_bm25_reads_its_index_in_buckets_of_documents(spark, monkeypatch):
+    from factloom.operators import lexical
+
+    docs = spark.range(60).selectExpr("if(id % 3 = 0, 's', 't') AS shard", "id AS doc_id", "concat('common w', id % 7) AS text", "id % 2 = 0 AS active")
+    asked = spark.createDataFrame([(i, f"common w{i}") for i in range(5)], "query_id long, text string")
+    found = lambda df: {(r.query_id, r.shard, r.doc_id): round(r.score, 9) for r in df.collect()}
+    names = {t.name for t in spark.catalog.listTables()}
+    want = {mode: found(lexical.bm25(asked, docs, mode)) for mode in ("all", "active")}
+    monkeypatch.setattr(lexical, "DOCS", 6)
+    posted = lexical.index(docs)
+    for mode in want:
+        scored = lexical.bm25(asked, docs, mode, index=posted)
+        assert found(scored) == want[mode]
+        # a task reads the documents of one bucket, and no posting is shuffled
+        assert scored.rdd.getNumPartitions() == 10 and "REPARTITION" not in scored._jdf.queryExecution().executedPlan().toString()
+    # 300 pairs, too many for 10 buckets: postings are dealt into more tasks
+    monkeypatch.setattr(lexical, "PAIRS", 20)
+    scored = lexical.bm25(asked, docs, index=posted)
+    assert found(scored) == want["all"] and scored.rdd.getNumPartitions() == 15
+    assert {t.name for t in spark.catalog.listTables()} == names
+
+
+@pytest.mark.parametrize("name", ["weighted_linear"])
+def test_no_posting_is_shuffled_by(spark, name):
+    from __spark_entry__ import queries
+    from core_helpers import SF
+
+    plan = queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "factloom_postings" in plan and "REPARTITION" not in plan
