@@ -261,7 +261,7 @@ def test_bm25_reads_its_index_in_buckets_of_documents(spark, monkeypatch):
     assert {t.name for t in spark.catalog.listTables()} == names
 
 
-@pytest.mark.parametrize("name", ["weighted_linear", "evidence_budget", "retrieval_rows", "rrf_fusion"])
+@pytest.mark.parametrize("name", ["weighted_linear", "evidence_budget", "retrieval_rows", "rrf_fusion", "retrieval_metrics"])
 def test_no_posting_is_shuffled_by(spark, name):
     from __spark_entry__ import queries
     from core_helpers import SF
