@@ -268,3 +268,17 @@ def test_no_posting_is_shuffled_by(spark, name):
 
     plan = queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "factloom_postings" in plan and "REPARTITION" not in plan
+
+
+@pytest.mark.parametrize("name", ["evidence_budget"])
+def test_best_documents_go_to_the_table_that_they_meet(spark, name):
+    from __spark_entry__ import queries
+    from core_helpers import SF
+
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert "SortMergeJoin [id#" not in plan and "BroadcastHashJoin [id#" in plan and "keys=[o_orderkey#" not in plan
