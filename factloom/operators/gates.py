@@ -89,8 +89,9 @@ def leaks_by_tag(candidates: DataFrame, returned: DataFrame) -> DataFrame:
 
 
 def retrieval_rows(hits: DataFrame, mapping: DataFrame, query: str) -> DataFrame:
-    """One row for each query: its text hashed, and the facts of its hits in order of rank; hits without a fact are dropped.
-    hits (query_id, query text, rank, id), at most a cut-off for each query; mapping (id, fact_id)."""
+    """One row for each query: its text hashed, and the facts of its hits in order of rank, each once, however often the mapping
+    has it; hits without a fact are dropped. hits (query_id, query text, rank, id), at most a cut-off for each query; mapping
+    (id, fact_id)."""
     mapped = hits.join(mapping.select("id", "fact_id"), "id")
-    facts = F.transform(F.sort_array(F.collect_list(F.struct("rank", "fact_id"))), lambda x: x["fact_id"])
+    facts = F.transform(F.sort_array(F.collect_set(F.struct("rank", "fact_id"))), lambda x: x["fact_id"])
     return mapped.groupBy("query_id", F.sha2(F.col(query), 256).alias("query_hash")).agg(facts.alias("fact_ids"))

@@ -139,9 +139,8 @@ SELECT tag, cases, leaks, round(r, 6) AS rate, round(greatest(0, m - s), 6) AS l
 
 def retrieval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents of each benchmark query as retrieval events; a document's fact is the order of its number."""
-    top = lexical.top_per(retrieval._bm25(spark, sf_dir), ["query_id"], 10, F.desc("score"), F.asc("id"))
-    hits = top.join(views.benchmark_queries(spark, sf_dir).select("query_id", "text"), "query_id")
-    mapping = views.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("fact_id")).distinct()
+    hits = retrieval.best(spark, sf_dir, 10, "text")
+    mapping = views.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("fact_id"))
     rows = gates.retrieval_rows(hits, mapping, "text")
     return rows.select("query_id", "query_hash", F.array_join(F.col("fact_ids").cast("array<string>"), ",").alias("fact_ids"))
 

@@ -69,3 +69,9 @@ def test_leaks_are_asked_of_words_not_of_pairs(spark):
 
     plan = plans.safety_leaks(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "sum(w#" not in plan
+
+
+def test_retrieval_rows_lists_a_fact_once_that_the_mapping_repeats(spark):
+    hits = spark.createDataFrame([(1, "a", 1, 20), (1, "a", 2, 10), (2, "b", 1, 10), (3, "c", 1, 99)], "query_id long, text string, rank int, id long")
+    mapping = spark.createDataFrame([(10, 10), (20, 20), (10, 10), (20, 20)], "id long, fact_id long")
+    assert {r.query_id: r.fact_ids for r in gates.retrieval_rows(hits, mapping, "text").collect()} == {1: [20, 10], 2: [10]}

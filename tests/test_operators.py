@@ -270,7 +270,7 @@ def test_no_posting_is_shuffled_by(spark, name):
     assert "factloom_postings" in plan and "REPARTITION" not in plan
 
 
-@pytest.mark.parametrize("name", ["evidence_budget"])
+@pytest.mark.parametrize("name", ["evidence_budget", "retrieval_rows"])
 def test_best_documents_go_to_the_table_that_they_meet(spark, name):
     from __spark_entry__ import queries
     from core_helpers import SF
