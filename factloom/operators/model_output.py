@@ -36,9 +36,10 @@ def entity_type(label: Column) -> Column:
 
 def rejects(rows: DataFrame, id: str, payload: str) -> DataFrame:
     """(id, reason) of payloads that can't be read."""
-    value = F.try_parse_json(F.col(payload))
-    reason = F.when(value.isNull(), "malformed").when(~F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), "not-an-object")
-    return rows.select(id, reason.alias("reason")).where("reason IS NOT NULL")
+    held = rows.select(id, F.try_parse_json(F.col(payload)).alias("v"))
+    reason = F.when(F.col("v").isNull(), "malformed").when(~F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")), "not-an-object")
+    # exploded, not filtered: a filter moves below all that a payload is made of, with a copy of each expression for each use of it
+    return held.select(id, F.explode(F.array_compact(F.array(reason))).alias("reason"))
 
 
 def _map(value: Column) -> Column:

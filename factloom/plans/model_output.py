@@ -14,8 +14,8 @@ def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first Latin word is a person, twice with different scores, and as a school with one sign too many; the second is where
     the person lives, or, for every third document, when it was founded."""
     docs = views.read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    k, words = F.col("doc_id"), F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)
-    docs = docs.withColumns({"a": F.coalesce(F.get(words, F.lit(0)), F.lit("")), "b": F.coalesce(F.get(words, F.lit(1)), F.lit(""))})
+    k, word = F.col("doc_id"), "[^A-Za-z]*+([A-Za-z]*+)"
+    docs = docs.withColumns({"a": F.regexp_extract("text", f"^{word}", 1), "b": F.regexp_extract("text", f"^{word}{word}", 2)})
     docs = docs.withColumn("a_at", F.instr("text", F.col("a")) - 1)
     docs = docs.withColumn("b_at", F.col("a_at") + F.length("a") + F.instr(F.substr("text", F.col("a_at") + F.length("a") + 1), F.col("b")) - 1)
 

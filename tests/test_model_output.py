@@ -2,7 +2,9 @@
 
 import json
 
+from core_helpers import SF
 from factloom.operators import model_output as m
+from factloom.plans import model_output as plans
 
 TEXT = "\U0001f600鲁迅住在北京"
 ENTRY = lambda text, start, end, p, **more: {"text": text, "start": start, "end": end, "probability": p, **more}
@@ -40,3 +42,8 @@ def test_mentions_and_relations(spark):
 def test_empty_table(spark):
     none = spark.createDataFrame([], "id long, t string, p string")
     assert m.mentions(none, "id", "t", "p").count() == m.relations(none, "id", "t", "p").count() == m.rejects(none, "id", "p").count() == 0
+
+
+def test_words_of_payloads_are_read_once(spark):
+    plan = plans.output_rejects(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") == 2  # one for each word; with a filter on the reason they stood 78 times in the plan
