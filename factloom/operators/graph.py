@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.operators.tables import cut
+from factloom.operators.tables import cut, kept
 
 
 def neighbours(edges: DataFrame, direction: str = "both", symmetric: tuple[str, ...] = ()) -> DataFrame:
@@ -64,6 +64,8 @@ def connected(links: DataFrame) -> DataFrame:
 
 def purge_closure(edges: DataFrame, targets: DataFrame) -> DataFrame:
     """edges (src, dst): dst depends on src; targets (node) -> every node that goes with them, and its round."""
+    # a stored table, as every round reads the edges, and would shuffle whatever they are made of again
+    edges = kept(edges.select("src", "dst"), "purge-edges")
     found = cut(targets.select("node", F.lit(0).alias("round")).distinct())
     frontier, step = found, 0
     while frontier.limit(1).count():

@@ -64,7 +64,7 @@ l0 AS (SELECT node AS root, node, 0 AS depth, CAST(NULL AS BIGINT) AS parent FRO
 
 def purge_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What goes with the seeds, where a part depends on each smaller one right before it in an order of kind A."""
-    e = views.edges(spark, sf_dir).where("kind = 'A' and src < dst").select("src", "dst").distinct()
+    e = views.edges(spark, sf_dir).where("kind = 'A' and src < dst").select("src", "dst")
     return graph.purge_closure(e, _seeds(spark, sf_dir)).select("node").distinct()
 
 
