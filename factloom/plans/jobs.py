@@ -121,13 +121,12 @@ WHERE a.outcome IN ('adopted', 'corrected', 'denied') GROUP BY a.event_id, a.out
 
 def hashed_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five nearest documents by hashed embedding for each benchmark phrase, within the documents that share a dimension
-    with it: an equi-join on dimensions."""
+    with it."""
     from factloom.operators import vectors
     from factloom.operators.lexical import top_per
 
-    docs = vectors.hashed_vectors(views.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id", "text", 384)
-    queries = vectors.hashed_vectors(views.benchmark_queries(spark, sf_dir), "query_id", "text", 384)
-    scored = vectors.sparse_dots(queries, docs).select("query_id", "id", F.round("score", 6).alias("score"))
+    docs = views.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    scored = vectors.nearest(views.benchmark_queries(spark, sf_dir), docs, "text", 5).select("query_id", "id", F.round("score", 6).alias("score"))
     return top_per(scored, ["query_id"], 5, F.desc("score"), F.asc("id")).select("query_id", "id", "rank", "score")
 
 
